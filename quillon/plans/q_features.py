@@ -21,7 +21,7 @@ def feature_frame(spark, d, keep_double_vector=False):
 
 
 # --- SQL building blocks (DuckDB) -------------------------------------------
-SQL_VOCAB = B.SQL_ITEM_EVENTS + """,
+FRAG_VOCAB = """
 df AS (SELECT item_id, count(DISTINCT subject_id) AS subject_count FROM item_events GROUP BY item_id),
 vocab AS (SELECT * FROM (SELECT item_id, subject_count,
             CAST(row_number() OVER (ORDER BY subject_count DESC, item_id) - 1 AS INTEGER) AS pos FROM df)
@@ -32,20 +32,33 @@ counts AS (SELECT subject_id, item_id, count(*) AS raw_count FROM item_events GR
 w AS (SELECT c.subject_id, c.item_id, v.pos, c.raw_count, v.idf, ln(1 + c.raw_count) * v.idf AS tfidf
       FROM counts c JOIN vidf v ON c.item_id = v.item_id)"""
 
-SQL_VECTORS = SQL_VOCAB + """,
+FRAG_CODE_HELD = """
+held AS (SELECT DISTINCT subject_id, code FROM code_events)"""
+
+
+def with_sql(*frags: str) -> str:
+    """Compose CTE fragments into one WITH clause (base event CTEs first)."""
+    return "WITH " + ",".join([B.SQL_ITEM_EVENTS, B.SQL_CODE_EVENTS] + list(frags))
+
+
+SQL_VOCAB = with_sql(FRAG_VOCAB)
+
+FRAG_VECTORS = """
 grid AS (SELECT c.c_custkey AS subject_id, v.pos FROM customer c CROSS JOIN vidf v),
 sm AS (SELECT g.subject_id, g.pos, coalesce(w.tfidf, 0) + 1e-4 AS x
        FROM grid g LEFT JOIN w ON g.subject_id = w.subject_id AND g.pos = w.pos),
 nrm AS (SELECT subject_id, sqrt(sum(x * x)) AS nrm FROM sm GROUP BY subject_id)"""
 
-SQL_CODE_VOCAB = B.SQL_CODE_EVENTS + """,
+FRAG_CODE_VOCAB = """
 cdf AS (SELECT code, count(DISTINCT subject_id) AS subject_count FROM code_events GROUP BY code),
 cvocab AS (SELECT * FROM (SELECT code, subject_count,
              CAST(row_number() OVER (ORDER BY subject_count DESC, code) - 1 AS INTEGER) AS pos FROM cdf)
            WHERE pos < 50)"""
+SQL_VECTORS = with_sql(FRAG_VOCAB, FRAG_VECTORS)
+SQL_CODE_VOCAB = with_sql(FRAG_CODE_VOCAB, FRAG_CODE_HELD)
 
 
-@query("vocab_tfidf", ops=("A4", "A5", "W1", "T3", "T4", "J3", "S2"), sql="WITH " + SQL_VOCAB + """
+@query("vocab_tfidf", ops=("A4", "A5", "W1", "T3", "T4", "J3", "S2"), sql=SQL_VOCAB + """
 SELECT subject_id, item_id, pos, raw_count, round(idf, 6) AS idf, round(tfidf, 6) AS tfidf FROM w""")
 def q_vocab_tfidf(spark, d):
     f = B.frames(spark, d)
@@ -54,7 +67,7 @@ def q_vocab_tfidf(spark, d):
                     F.round("idf", 6).alias("idf"), F.round("tfidf", 6).alias("tfidf"))
 
 
-@query("item_vocabulary", ops=("A5", "W1"), sql="WITH " + SQL_VOCAB + """
+@query("item_vocabulary", ops=("A5", "W1"), sql=SQL_VOCAB + """
 SELECT item_id, subject_count, pos FROM vocab""")
 def q_item_vocabulary(spark, d):
     f = B.frames(spark, d)
@@ -62,7 +75,7 @@ def q_item_vocabulary(spark, d):
     return v.select("item_id", "subject_count", F.col("pos").cast("int").alias("pos"))
 
 
-@query("item_vector_long", ops=("T5", "T2", "A7", "J1"), sql="WITH " + SQL_VECTORS + """
+@query("item_vector_long", ops=("T5", "T2", "A7", "J1"), sql=SQL_VECTORS + """
 SELECT sm.subject_id, sm.pos, round(sm.x / nrm.nrm, 6) AS weight FROM sm JOIN nrm ON sm.subject_id = nrm.subject_id""")
 def q_item_vector_long(spark, d):
     f = B.frames(spark, d)
@@ -71,8 +84,7 @@ def q_item_vector_long(spark, d):
         "subject_id", F.col("pos").cast("int").alias("pos"), F.round("w", 6).alias("weight"))
 
 
-@query("code_vector_long", ops=("T1", "T2", "A3", "W1"), sql="WITH " + SQL_CODE_VOCAB + """,
-held AS (SELECT DISTINCT subject_id, code FROM code_events)
+@query("code_vector_long", ops=("T1", "T2", "A3", "W1"), sql=SQL_CODE_VOCAB + """
 SELECT c.c_custkey AS subject_id, v.pos,
        CAST(CASE WHEN h.subject_id IS NULL THEN 0.0 ELSE 1.0 END AS FLOAT) AS value
 FROM customer c CROSS JOIN cvocab v
@@ -88,7 +100,7 @@ _FLAG_SQL = ",\n".join(
     f"  CAST(coalesce(max(CASE WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN 1 ELSE 0 END), 0) AS TINYINT) AS {name}"
     for name, codes, _ in B.FLAG_GROUPS)
 _SEG_SQL = " ".join(f"WHEN lower(c_mktsegment) = '{k.lower()}' THEN {v}" for k, v in B.SEGMENT_CODES.items())
-SQL_FEATURE_SCALARS = B.SQL_CODE_EVENTS + "," + B.SQL_ITEM_EVENTS + f""",
+FRAG_FEAT = f"""
 first AS (SELECT o_custkey AS subject_id, min(CAST(o_orderdate AS DATE)) AS start_date FROM orders GROUP BY 1),
 demo AS (SELECT c.c_custkey AS subject_id,
            CAST(trunc(date_diff('day', f.start_date, DATE '{B.AS_OF_DATE}') / 365.25) AS INTEGER) AS age,
@@ -108,9 +120,10 @@ SELECT d.subject_id, d.age, d.binary_code, d.category_code,
 FROM demo d LEFT JOIN cond c ON c.subject_id = d.subject_id
 LEFT JOIN items i ON i.subject_id = d.subject_id
 LEFT JOIN enc e ON e.subject_id = d.subject_id)"""
+SQL_FEATURE_SCALARS = with_sql(FRAG_FEAT)
 
 
 @query("feature_scalars", ops=("P13", "P15", "A1", "A2", "A6", "J1", "J2", "P24"),
-       sql="WITH " + SQL_FEATURE_SCALARS + "\nSELECT * FROM feat")
+       sql=SQL_FEATURE_SCALARS + "\nSELECT * FROM feat")
 def q_feature_scalars(spark, d):
     return feature_frame(spark, d).select("subject_id", *FT.scalar_columns(SPEC))
