@@ -10,7 +10,7 @@ from quillon.plans.checker import duckdb_connection, compare
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
-spark = build_session("local[8]", shuffle_partitions=8)
+spark = build_session("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "12g"})
 con = duckdb_connection(sf)
 Q, S = queries(), oracle_sql()
 bad = 0
