@@ -115,3 +115,40 @@ def top_k_excluding(ranked_items: DataFrame, subjects: DataFrame, exclude: DataF
             .join(exclude.select(subject, item), [subject, item], "left_anti"))
     w = Window.partitionBy(subject).orderBy(F.col(rank_col).asc())
     return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def prefix_sums(df: DataFrame, order, cols, checkpoint: bool = True) -> DataFrame:
+    """Inclusive running sums of ``cols`` along a total order, as ``cum_<col>``.
+
+    Range-partitioned sort; each partition's totals (one row per partition)
+    become offsets; running sums inside a partition are computed batch by
+    batch in ``mapInPandas`` (per-partition sequential logic, partition order
+    preserved).  Checkpointed so the partition layout is fixed.
+    """
+    from pyspark.sql.types import StructField, LongType, DoubleType, StructType
+
+    s = df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
+    if checkpoint:
+        s = cut_lineage(s)
+    tot = s.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # <= #partitions rows
+    offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    types = {f.name: f.dataType for f in s.schema.fields}
+    out_fields = list(s.schema.fields) + [
+        StructField(f"_run_{c}", DoubleType() if isinstance(types[c], DoubleType) else LongType()) for c in cols]
+
+    def run(it):
+        carry = {c: 0 for c in cols}
+        for pdf in it:
+            for c in cols:
+                cs = pdf[c].fillna(0).cumsum() + carry[c]
+                if len(cs):
+                    carry[c] = cs.iloc[-1]
+                pdf[f"_run_{c}"] = cs
+            yield pdf
+
+    r = s.mapInPandas(run, StructType(out_fields))
+    r = r.join(F.broadcast(offs), "_pid")
+    for c in cols:
+        r = r.withColumn(f"cum_{c}", F.col(f"_run_{c}") + F.col(f"_o_{c}")).drop(f"_run_{c}", f"_o_{c}")
+    return r.drop("_pid")
