@@ -1 +1,136 @@
-"""Queries (filled in below)."""
+"""Cleaning / validation queries on the driver tables.
+
+The driver tables are typed parquet; to exercise the raw-file path they are
+rendered as all-string rows in the raw formats (timestamps as
+yyyy-MM-dd'T'HH:mm:ss'Z', dates as yyyy-MM-dd, missing as ''), then cleaned by
+the same specs a raw CSV drop would use.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillon.operators import clean as C
+from quillon.plans import binding as B
+from quillon.plans.registry import query
+
+_TS = C.TS_FORMAT
+
+
+def _s(c):
+    return F.col(c).cast("string")
+
+
+def raw_encounters(spark, d):
+    o = B.frames(spark, d).t("orders")
+    return o.select(_s("o_orderkey").alias("Id"), F.date_format("o_orderdate", _TS).alias("START"),
+                    F.lit("").alias("STOP"), _s("o_custkey").alias("PATIENT"),
+                    F.col("o_orderpriority").alias("ENCOUNTERCLASS"), F.col("o_orderstatus").alias("CODE"),
+                    F.lit("").alias("DESCRIPTION"), F.lit("").alias("REASONCODE"), F.lit("").alias("REASONDESCRIPTION"),
+                    F.lit("").alias("BASE_ENCOUNTER_COST"), _s("o_totalprice").alias("TOTAL_CLAIM_COST"),
+                    F.lit("").alias("PAYER_COVERAGE"))
+
+
+def raw_medications(spark, d):
+    f = B.frames(spark, d)
+    li = f.t("lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
+    o = f.t("orders").select("o_orderkey", "o_custkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return j.select(F.date_format("l_shipdate", _TS).alias("START"), F.lit("").alias("STOP"),
+                    _s("o_custkey").alias("PATIENT"), F.lit("").alias("PAYER"), _s("l_orderkey").alias("ENCOUNTER"),
+                    _s("l_partkey").alias("CODE"), F.lit("").alias("DESCRIPTION"),
+                    F.lit("").alias("REASONCODE"), F.lit("").alias("REASONDESCRIPTION"))
+
+
+def raw_patients(spark, d):
+    f = B.frames(spark, d)
+    first = f.t("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
+    c = f.t("customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return c.select(_s("c_custkey").alias("Id"), F.date_format("first", "yyyy-MM-dd").alias("BIRTHDATE"),
+                    F.lit("").alias("DEATHDATE"), F.lit("").alias("SSN"), F.col("c_name").alias("FIRST"),
+                    F.lit("").alias("LAST"),
+                    F.when(F.col("c_acctbal") < 0, F.lit("m")).otherwise(F.lit("f")).alias("GENDER"),
+                    F.col("c_mktsegment").alias("RACE"), F.lit("").alias("ETHNICITY"), F.lit("").alias("CITY"),
+                    F.lit("").alias("STATE"), F.lit("").alias("ZIP"), F.lit("").alias("LAT"), F.lit("").alias("LON"),
+                    _s("c_acctbal").alias("HEALTHCARE_EXPENSES"), F.lit("").alias("HEALTHCARE_COVERAGE"))
+
+
+def raw_observations(spark, d):
+    e = B.frames(spark, d).t("events")
+    return e.select(F.date_format("ts", _TS).alias("DATE"), _s("user_id").alias("PATIENT"),
+                    F.lit("").alias("ENCOUNTER"), F.lit("").alias("CATEGORY"), F.col("event_type").alias("CODE"),
+                    F.lit("").alias("DESCRIPTION"), _s("value").alias("VALUE"), F.lit("").alias("UNITS"),
+                    F.lit("numeric").alias("TYPE"))
+
+
+@query("clean_encounters", ops=("P1", "P2", "P3", "P4", "P6", "P8", "P9", "P11", "S5"), sql="""
+SELECT CAST(o_orderkey AS VARCHAR) AS encounter_id, o_orderdate AS start_dt, CAST(NULL AS TIMESTAMP) AS stop_dt,
+       CAST(o_custkey AS VARCHAR) AS patient_id, o_orderpriority AS encounterclass, o_orderstatus AS code,
+       '' AS description, '' AS reasoncode, '' AS reasondescription, CAST(NULL AS DOUBLE) AS base_encounter_cost,
+       o_totalprice AS total_claim_cost, CAST(NULL AS DOUBLE) AS payer_coverage FROM orders""")
+def q_clean_encounters(spark, d):
+    return C.clean(raw_encounters(spark, d), C.ENCOUNTERS)
+
+
+@query("clean_medications", ops=("P1", "P2", "P3", "P4", "P6", "P8"), sql="""
+SELECT CAST(l.l_shipdate AS DATE) AS start_date, CAST(NULL AS DATE) AS stop_date,
+       CAST(o.o_custkey AS VARCHAR) AS patient_id, min(CAST(l.l_orderkey AS VARCHAR)) AS encounter_id,
+       CAST(l.l_partkey AS VARCHAR) AS code, '' AS description, '' AS reasoncode, '' AS reasondescription
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+GROUP BY CAST(l.l_shipdate AS DATE), o.o_custkey, l.l_partkey""")
+def q_clean_medications(spark, d):
+    return C.clean(raw_medications(spark, d), C.ITEM_EVENTS)
+
+
+@query("clean_patients", ops=("P1", "P2", "P3", "P4", "P5", "P6", "P7", "P9", "P10"), sql="""
+WITH first AS (SELECT o_custkey, min(o_orderdate) AS first FROM orders GROUP BY 1)
+SELECT CAST(c_custkey AS VARCHAR) AS patient_id, CAST(f.first AS DATE) AS birthdate, CAST(NULL AS DATE) AS deathdate,
+       '' AS ssn, c_name AS first, '' AS last, CASE WHEN c_acctbal < 0 THEN 'M' ELSE 'F' END AS gender,
+       c_mktsegment AS race, '' AS ethnicity, '' AS city, '' AS state, '' AS zip,
+       CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon, c_acctbal AS healthcare_expenses,
+       CAST(NULL AS DOUBLE) AS healthcare_coverage
+FROM customer c JOIN first f ON f.o_custkey = c.c_custkey WHERE CAST(f.first AS DATE) > DATE '1900-01-01'""")
+def q_clean_patients(spark, d):
+    return C.clean(raw_patients(spark, d), C.SUBJECTS)
+
+
+@query("clean_observations", ops=("P1", "P2", "P3", "P4", "P6", "P8", "P11"), sql="""
+SELECT date_trunc('second', ts) AS date, CAST(user_id AS VARCHAR) AS patient_id, CAST(NULL AS VARCHAR) AS encounter_id,
+       event_type AS code, '' AS description, min(CAST(value AS VARCHAR)) AS value, '' AS units, 'numeric' AS type
+FROM events GROUP BY date_trunc('second', ts), user_id, event_type""")
+def q_clean_observations(spark, d):
+    return C.clean(raw_observations(spark, d), C.OBSERVATIONS)
+
+
+@query("clean_report", ops=("V3", "V4"), sql="""
+WITH m AS (SELECT count(*) AS raw_rows,
+                  count(DISTINCT (CAST(l.l_shipdate AS DATE), o.o_custkey, l.l_partkey)) AS clean_rows
+           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
+SELECT 'medications' AS table_name, raw_rows, clean_rows, CAST(0 AS BIGINT) AS dropped_null,
+       CAST(0 AS BIGINT) AS dropped_empty, CAST(0 AS BIGINT) AS dropped_floor,
+       raw_rows - clean_rows AS dropped_duplicate FROM m
+UNION ALL
+SELECT 'patients', (SELECT count(*) FROM customer), (SELECT count(DISTINCT o_custkey) FROM orders),
+       (SELECT count(*) FROM customer) - (SELECT count(DISTINCT o_custkey) FROM orders), 0, 0, 0""")
+def q_clean_report(spark, d):
+    return (C.reject_counts(raw_medications(spark, d), C.ITEM_EVENTS)
+            .unionByName(C.reject_counts(raw_patients(spark, d), C.SUBJECTS)))
+
+
+@query("load_to_schema", ops=("S4", "S6", "P12"), sql="""
+SELECT CAST(o_orderkey AS VARCHAR) AS encounter_id, greatest(CAST(o_orderdate AS DATE), DATE '1925-01-01') AS start_date,
+       CAST(o_custkey AS VARCHAR) AS patient_id FROM orders""")
+def q_load_to_schema(spark, d):
+    """Bulk load: keep the target's columns (unknown source columns dropped),
+    cast to target types, clamp dates to the 1925-01-01 floor."""
+    from pyspark.sql import types as T
+    from quillon.functions.encode import date_floor
+    target = T.StructType([T.StructField("encounter_id", T.StringType()),
+                           T.StructField("start_date", T.DateType()),
+                           T.StructField("patient_id", T.StringType()),
+                           T.StructField("not_in_source", T.StringType())])
+    src = B.frames(spark, d).t("orders").select(
+        F.col("o_orderkey").alias("encounter_id"), F.to_date("o_orderdate").alias("start_date"),
+        F.col("o_custkey").alias("patient_id"), F.col("o_orderstatus").alias("not_in_target"))
+    out = C.load_to_schema(src, target)
+    return out.withColumn("start_date", date_floor("start_date", "1925-01-01"))

@@ -127,3 +127,10 @@ SQL_FEATURE_SCALARS = with_sql(FRAG_FEAT)
        sql=SQL_FEATURE_SCALARS + "\nSELECT * FROM feat")
 def q_feature_scalars(spark, d):
     return feature_frame(spark, d).select("subject_id", *FT.scalar_columns(SPEC))
+
+
+@query("feature_rows", ops=("J2", "S2", "P24", "T1", "T5"))
+def q_feature_rows(spark, d):
+    """The whole feature row (arrays included); rows-only (arrays are checked
+    position by position in code_vector_long / item_vector_long)."""
+    return feature_frame(spark, d).drop("created_at")
