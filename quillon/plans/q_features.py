@@ -14,6 +14,12 @@ SPEC = FT.FeatureSpec(
     category_other=B.SEGMENT_OTHER, flag_groups=B.FLAG_GROUPS)
 
 
+def scalar_frame(spark, d):
+    f = B.frames(spark, d)
+    return FT.scalar_feature_rows(f.demographics_input(), f.subjects(), f.code_events(),
+                                  f.item_events(), f.encounters(), SPEC)
+
+
 def feature_frame(spark, d, keep_double_vector=False):
     f = B.frames(spark, d)
     return FT.feature_rows(f.demographics_input(), f.subjects(), f.code_events(),
@@ -126,7 +132,7 @@ SQL_FEATURE_SCALARS = with_sql(FRAG_FEAT)
 @query("feature_scalars", ops=("P13", "P15", "A1", "A2", "A6", "J1", "J2", "P24"),
        sql=SQL_FEATURE_SCALARS + "\nSELECT * FROM feat")
 def q_feature_scalars(spark, d):
-    return feature_frame(spark, d).select("subject_id", *FT.scalar_columns(SPEC))
+    return scalar_frame(spark, d)
 
 
 @query("feature_rows", ops=("J2", "S2", "P24", "T1", "T5"))
