@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, packing, quality, records
+from quillon.llm import linededup, mixing, packing, quality, records
 from quillon.llm.common import documents
 from quillon.llm.tokens import vocabulary_path
 from quillon.sources.tables import read_table
@@ -68,3 +68,8 @@ def op5(spark, sf_dir):
 @query("op10_bin_slack_packing")
 def op10(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
+
+
+@query("op7_fuzzy_line_dedup")
+def op7(spark, sf_dir):
+    return linededup.line_report(documents(spark, sf_dir))
