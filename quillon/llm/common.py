@@ -46,3 +46,9 @@ def text_or_empty(column: str = "text"):
 def lower_ascii(c):
     """A-Z to a-z; every other character stays."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def maybe_broadcast(small: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Ask for a broadcast only if the (written) frame has at most ``limit``
+    rows; beyond it the join is left to the shuffle."""
+    return F.broadcast(small) if small.count() <= limit else small

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import linededup, mixing, packing, quality, records
+from quillon.llm import linededup, mixing, ngramjoin, packing, quality, records
 from quillon.llm.common import documents
 from quillon.llm.tokens import vocabulary_path
 from quillon.sources.tables import read_table
@@ -73,3 +73,8 @@ def op10(spark, sf_dir):
 @query("op7_fuzzy_line_dedup")
 def op7(spark, sf_dir):
     return linededup.line_report(documents(spark, sf_dir))
+
+
+@query("op6_grouped_prefix_join")
+def op6(spark, sf_dir):
+    return ngramjoin.similar_components(documents(spark, sf_dir))
