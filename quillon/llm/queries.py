@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import linededup, mixing, ngramjoin, packing, quality, records
+from quillon.llm import licenses, linededup, mixing, ngramjoin, packing, quality, records, secrets
 from quillon.llm.common import documents
 from quillon.llm.tokens import vocabulary_path
 from quillon.sources.tables import read_table
@@ -78,3 +78,15 @@ def op7(spark, sf_dir):
 @query("op6_grouped_prefix_join")
 def op6(spark, sf_dir):
     return ngramjoin.similar_components(documents(spark, sf_dir))
+
+
+@query("op1_linked_secrets")
+def op1(spark, sf_dir):
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+
+
+@query("op9_license_diagonals")
+def op9(spark, sf_dir):
+    return licenses.license_report(documents(spark, sf_dir))
