@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import licenses, linededup, mixing, ngramjoin, packing, quality, records, secrets
+import corpus_pipeline
+from quillon.llm import licenses, linededup, mixing, ngramjoin, packing, permutation, quality, records, secrets, substrings
 from quillon.llm.common import documents
 from quillon.llm.tokens import vocabulary_path
 from quillon.sources.tables import read_table
@@ -90,3 +91,18 @@ def op1(spark, sf_dir):
 @query("op9_license_diagonals")
 def op9(spark, sf_dir):
     return licenses.license_report(documents(spark, sf_dir))
+
+
+@query("op8_permutation_index")
+def op8(spark, sf_dir):
+    return permutation.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_induced_substring_dedup")
+def op2(spark, sf_dir):
+    return substrings.repeated_substrings(documents(spark, sf_dir))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
