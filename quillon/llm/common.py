@@ -52,3 +52,11 @@ def maybe_broadcast(small: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """Ask for a broadcast only if the (written) frame has at most ``limit``
     rows; beyond it the join is left to the shuffle."""
     return F.broadcast(small) if small.count() <= limit else small
+
+
+def slices(batches, rows: int = 500):
+    """Arrow batches cut into short ones, so that a worker's Python objects stay
+    small whatever the batch size of the session."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

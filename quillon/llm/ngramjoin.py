@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import maybe_broadcast, written
+from quillon.llm.common import maybe_broadcast, slices, written
 from quillon.llm.components import components
 from quillon.llm.shingles import shingle_sets
 
@@ -45,7 +45,7 @@ def _prefix_length(n, percent: int):
 def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, set_id, n, counted and filler shingles of each document."""
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, ns, counted, fill = [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), size):
                 ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
@@ -96,7 +96,7 @@ def _linked(pairs: DataFrame, items: DataFrame, docs: DataFrame, size: int, perc
     who = written(wanted.select("wanted").distinct(), "who")
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [s for s in shingle_sets(b.column(0).to_pylist(), size) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
+from quillon.llm.common import slices, written
 from quillon.llm.tokens import encoder
 
 GROUP_BINS = 256
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     def cut(batches):
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = enc.encode(t or "") + end

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shuffle_partitions
+from quillon.llm.common import shuffle_partitions, slices
 from quillon.llm.tokens import encoder
 from quillon.session import checkpoint_dir
 
@@ -74,7 +74,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, f
     """Tokenize every text and write the data files under ``path``/data."""
     def encode(batches):
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             out = [frame(i, np.append(np.frombuffer(enc.encode(t or ""), dtype="<u4"), end_id))
                    for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])

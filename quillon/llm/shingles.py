@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 # Texts are hashed together up to so many bytes.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

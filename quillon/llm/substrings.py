@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import maybe_broadcast, row_key, text_or_empty, written
+from quillon.llm.common import maybe_broadcast, row_key, slices, text_or_empty, written
 from quillon.llm.shingles import _BYTE, mix
 
 SPAN, WINDOW = 200, 128
 GRAM = SPAN - WINDOW + 1
-BLOCK_BYTES, BLOCK_ROWS, HOT = 1 << 20, 20_000, 50_000
+BLOCK_BYTES, BLOCK_ROWS, HOT = 1 << 18, 20_000, 50_000
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def samples(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _contexts(batches):
     """Sampled suffixes with their contexts: (sample, context, left, key, places)."""
-    for b in batches:
+    for b in slices(batches, 200):
         cols: list[list] = [[], [], [], [], []]
         for key, text, at, h in zip(*(b.column(i).to_pylist() for i in range(4))):
             same: dict[tuple, list[int]] = {}
@@ -204,7 +204,7 @@ def _induce(batches):
 
 def _spans_of_hot(batches):
     """Every SPAN-byte string of a hot sample's tuples: (digest, key, start)."""
-    for b in batches:
+    for b in slices(batches):
         out: list[list] = [[], [], []]
         for context, left, key, places in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
             for a in range(min(left, WINDOW - 1) + 1):
@@ -220,7 +220,7 @@ def _spans_of_hot(batches):
 
 def _cut(batches):
     """(key, n_removed, n_spans, kept_sha256) from runs of repeated starts."""
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for key, text, lo, hi in zip(*(b.column(i).to_pylist() for i in range(4))):
             steps = np.zeros(len(text) + 1, dtype=np.int32)
@@ -238,7 +238,7 @@ def _cut(batches):
 def repeated_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(2).to_pylist()
             found = samples(texts)
             yield pa.RecordBatch.from_arrays(
