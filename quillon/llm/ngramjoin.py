@@ -11,10 +11,14 @@
     prefixes allow, then expanded to members, whose full sets decide.
 
 Links only have to give the right components, so pairs are tried in two
-rounds: each item with its group's first and each group with the leader that
-it shares most prefix shingles with; then every pair that the rules of step
-3 allow and the first round left in different components.  Large families of
-copies thus cost a pair per member, and no link is lost.
+rounds: each item with its group's first and with up to ``LEADERS`` leaders of
+its prefix shingles; then every pair that the rules of step 3 allow and the
+first round left in different components.  Families of copies thus cost a few
+pairs per member, and no link is lost.
+
+Both rounds also use odd sketches, ``SKETCH`` parity bits of each whole set:
+two sketches differ in at most as many bits as the sets differ in shingles, so
+a pair that differs in more is no link, whatever the sets hold.
 
 Defined cases: null or wordless texts have empty sets and link with nothing;
 null ids come last for component_id (null only if the whole component has
@@ -24,6 +28,8 @@ shingles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,21 +38,29 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import maybe_broadcast, slices, written
 from quillon.llm.components import components
+from quillon.llm.linededup import hash_seed
 from quillon.llm.shingles import shingle_sets
 
 # Of 256 hash classes, those whose shingles are counted and ordered by rarity.
 COUNTED = 51
+LEADERS, SKETCH = 8, 1024
 
 
 def _prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of how many shingles fall on each of ``SKETCH`` bits."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, set_id, n, counted and filler shingles of each document."""
     def scan(batches):
         for b in slices(batches):
-            ids, ns, counted, fill = [], [], [], []
+            ids, ns, counted, fill, odd = [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), size):
                 ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 ns.append(len(s))
@@ -54,18 +68,20 @@ def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 counted.append(s[first].view(np.int64))
                 more = max(0, _prefix_length(len(s), percent) - len(counted[-1])) if len(s) else 0
                 fill.append(np.sort(s[~first].view(np.int64))[:more])
+                odd.append(odd_sketch(s))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.int64()), pa.array(ns, pa.int32()),
-                 pa.array(counted, pa.list_(pa.int64())), pa.array(fill, pa.list_(pa.int64()))],
-                ["doc_id", "set_id", "n", "counted", "fill"])
+                 pa.array(counted, pa.list_(pa.int64())), pa.array(fill, pa.list_(pa.int64())),
+                 pa.array(odd, pa.list_(pa.int64()))],
+                ["doc_id", "set_id", "n", "counted", "fill", "odd"])
 
     heads = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        scan, "doc_id long, set_id long, n int, counted array<long>, fill array<long>")
+        scan, "doc_id long, set_id long, n int, counted array<long>, fill array<long>, odd array<long>")
     return written(heads.withColumn("uid", F.monotonically_increasing_id()), "heads")
 
 
 def _prefixes(items: DataFrame, percent: int) -> DataFrame:
-    """uid, n, prefix (shared shingles only) and rest (shingles behind it)."""
+    """uid, n, prefix (shared shingles only), rest (shingles behind it), sketch."""
     posts = items.select("uid", F.explode(F.concat("counted", "fill")).alias("shingle"))
     often = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     late = F.col("shingle").bitwiseAND(F.lit(255)) >= COUNTED
@@ -75,17 +91,19 @@ def _prefixes(items: DataFrame, percent: int) -> DataFrame:
     p = F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")
     alone = F.col("n_counted") - F.size("early")
     take = F.greatest(F.lit(0), F.col("p") - F.col("alone"))
-    return (shared.join(items.select("uid", "n", F.size("counted").alias("n_counted")), "uid")
+    return (shared.join(items.select("uid", "n", F.size("counted").alias("n_counted"), "odd"), "uid")
             .withColumn("p", p).withColumn("early", early).withColumn("alone", alone)
             .withColumn("prefix", F.transform(F.concat(F.slice("early", F.lit(1), take), F.filter("s", lambda x: x["late"])), lambda x: x["shingle"]))
             .filter(F.size("prefix") > 0)
-            .select("uid", "n", "prefix", (F.col("n") - F.col("p")).alias("rest")))
+            .select("uid", "n", "prefix", (F.col("n") - F.col("p")).alias("rest"), "odd"))
 
 
 def _possible(percent: int):
-    """Size filter and overlap bound of two prefix rows (a.., b..)."""
+    """Size, sketch and overlap bounds of two prefix rows (a.., b..)."""
     need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    bits = [F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(SKETCH // 64)]
     return ((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            & (reduce(lambda x, y: x + y, bits) <= F.col("na") + F.col("nb") - 2 * need)
             & (F.size(F.array_intersect("pa", "pb")) + F.greatest("ra", "rb") >= need))
 
 
@@ -125,28 +143,31 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     heads_of = prefixes.groupBy("gid").agg(F.min("uid").alias("b"))
     within = prefixes.select("gid", F.col("uid").alias("a")).join(heads_of, "gid").filter("a <> b").select("a", "b")
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
+    # A shingle's leader is the item whose uid is nearest to one of LEADERS
+    # constants (by XOR), so that a family is not tied to a single member.
+    turn = F.pmod("shingle", F.lit(LEADERS)).cast("int")
+    salt = F.element_at(F.array(*[F.lit(hash_seed(i) >> 1 & (1 << 62) - 1) for i in range(LEADERS)]), F.col("turn") + 1)
     reps = (prefixes.join(heads_of.withColumnRenamed("b", "uid"), ["gid", "uid"])
-            .select("uid", band.alias("band"), F.explode("prefix").alias("shingle")))
-    leaders = reps.groupBy("shingle", "band").agg(F.min("uid").alias("b"))
-    across = (reps.join(leaders, ["shingle", "band"]).filter("uid <> b").groupBy(F.col("uid").alias("a"), "b").count()
-              .groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
-    side = prefixes.select("uid", "n", "prefix", "rest")
-    tried = written(within.union(across).join(side.toDF("a", "na", "pa", "ra"), "a").join(side.toDF("b", "nb", "pb", "rb"), "b")
+            .select("uid", band.alias("band"), F.explode("prefix").alias("shingle")).withColumn("turn", turn).withColumn("salt", salt))
+    leaders = (reps.groupBy("shingle", "band", "salt").agg(F.min(F.col("uid").bitwiseXOR(F.col("salt"))).alias("m"))
+               .select("shingle", "band", F.col("m").bitwiseXOR(F.col("salt")).alias("b")))
+    across = (reps.join(leaders, ["shingle", "band"]).filter("uid <> b").groupBy(F.col("uid").alias("a"), "turn", "b").count()
+              .groupBy("a", "turn").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    side = prefixes.select("uid", "n", "prefix", "rest", "odd")
+    tried = written(within.union(across).distinct().join(side.toDF("a", "na", "pa", "ra", "oa"), "a").join(side.toDF("b", "nb", "pb", "rb", "ob"), "b")
                     .filter(_possible(percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     links = _linked(tried, items, docs, size, percent)
     roots = components(links)
 
-    placed = prefixes.join(roots.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    classes = written(placed.groupBy("gid", "root").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rest").alias("rest")), "classes")
-    posts = classes.select("gid", "root", F.explode("prefix").alias("shingle"))
-    split = posts.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    posts = written(posts.join(split, "shingle").join(classes, ["gid", "root"]).select("shingle", "gid", "root", "n", "prefix", "rest"), "posts")
-    a, b = posts.toDF("shingle", "ga", "roota", "na", "pa", "ra"), posts.toDF("shingle", "gb", "rootb", "nb", "pb", "rb")
-    group_pairs = (a.join(b, "shingle").filter((F.col("roota") < F.col("rootb")) & _possible(percent))
-                   .select("ga", "roota", "gb", "rootb").distinct())
-    member = placed.select("gid", "root", "uid")
-    rest = (group_pairs.join(member.toDF("ga", "roota", "x"), ["ga", "roota"]).join(member.toDF("gb", "rootb", "y"), ["gb", "rootb"])
-            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    placed = (prefixes.drop("gid").join(roots.withColumnRenamed("id", "uid"), "uid", "left")
+              .withColumn("root", F.coalesce("root", "uid")).withColumn("shingle", F.explode("prefix")))
+    split = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
+    posts = written(placed.join(split, "shingle").select("shingle", "uid", "root", "n", "prefix", "rest", "odd"), "posts")
+    a, b = posts.toDF("shingle", "a", "roota", "na", "pa", "ra", "oa"), posts.toDF("shingle", "b", "rootb", "nb", "pb", "rb", "ob")
+    # A pair is made once, at the first prefix shingle that it shares.
+    once = F.get(F.array_intersect("pa", "pb"), F.lit(0)) == a["shingle"]
+    rest = (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & _possible(percent) & once)
+            .select("a", "b").join(tried, ["a", "b"], "left_anti"))
     rest = written(rest, "pairs")
     if not rest.isEmpty():
         links = links.union(_linked(rest, items, docs, size, percent))
