@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from quillon.operators.metrics import normalised_score
 
 # The metric each model type is judged by.
-PRIMARY_METRIC = {"als": "rmse", "neighbour": "mean_auc_roc", "pair_model": "auc_roc", "popularity": "ndcg_at_k"}
+PRIMARY_METRIC = {"als": "rmse", "neighbour": "ndcg_at_k", "pair_model": "auc_roc", "popularity": "ndcg_at_k"}
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

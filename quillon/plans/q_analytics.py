@@ -13,6 +13,7 @@ from quillon.operators import store as ST
 from quillon.plans import binding as B
 from quillon.plans.q_features import FRAG_FEAT, SPEC, scalar_frame, with_sql
 from quillon.plans.registry import query
+from quillon.sources.tables import TABLES
 
 FLAGS = [g[0] for g in B.FLAG_GROUPS]
 PHRASES = [(g[0], g[2]) for g in B.FLAG_GROUPS]
@@ -164,7 +165,8 @@ def q_price_histogram(spark, d):
             .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
 
 
-_PAIRS = [(a, b) for i, a in enumerate(FLAGS + ["age", "num_items"]) for b in (FLAGS + ["age", "num_items"])[i + 1:]]
+_SCALARS = FLAGS + ["age", "num_items", "num_encounters", "num_codes", "binary_code", "category_code"]
+_PAIRS = [(a, b) for i, a in enumerate(_SCALARS) for b in _SCALARS[i + 1:]]
 
 
 @query("feature_correlation", ops=("A22",), sql=with_sql(FRAG_FEAT) + "\n" + " UNION ALL ".join(
@@ -266,11 +268,11 @@ def q_items_for_cohort(spark, d):
 # ---------------------------------------------------------------- data quality
 @query("table_row_counts", ops=("V5", "V4"), sql="\nUNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in
-    ("customer", "orders", "lineitem", "part", "events")))
+    TABLES))
 def q_table_row_counts(spark, d):
     f = B.frames(spark, d)
     parts = [f.t(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n")
-             for t in ("customer", "orders", "lineitem", "part", "events")]
+             for t in TABLES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -305,14 +307,6 @@ def q_feature_checks(spark, d):
                   .alias("category_codes"))
 
 
-@query("schema_listing", ops=("V9",))
-def q_schema_listing(spark, d):
-    """Column names and types of the feature table (rows-only)."""
-    f = scalar_frame(spark, d)
-    return spark.createDataFrame([(x.name, x.dataType.simpleString()) for x in f.schema.fields],
-                                 "column_name string, data_type string")
-
-
 # ---------------------------------------------------------------- recommendation store
 SQL_POP_RECS = with_sql(FRAG_FEAT) + """,
 hist AS (SELECT subject_id, item_id, max(start_date) AS last_date FROM item_events GROUP BY 1, 2),
@@ -370,15 +364,10 @@ def q_rec_contract_check(spark, d):
 @query("rec_explanations", ops=("P21", "P22", "J11"), sql=SQL_POP_RECS + f"""
 SELECT r.subject_id, CAST(r.rank AS INTEGER) AS rank, r.item_id,
        CASE WHEN r.score > 0.8 THEN 'high' WHEN r.score > 0.6 THEN 'medium' ELSE 'low' END AS badge,
-       'Ranked #' || CAST(r.rank AS VARCHAR) || ' with confidence ' || printf('%.1f%%', round(r.score * 100.0, 1)) ||
-       '. This item is ' ||
-       CASE WHEN len(list_filter([{", ".join(f"CASE WHEN f.{c} = 1 THEN '{p}' END" for c, p in PHRASES)}],
-                                 lambda x: x IS NOT NULL)) > 0
-            THEN 'aligned with ' || array_to_string(list_filter([{", ".join(f"CASE WHEN f.{c} = 1 THEN '{p}' END" for c, p in PHRASES)}],
-                                 lambda x: x IS NOT NULL), ', ')
-            ELSE 'matches subject profile' END ||
-       ' based on ' || CAST(f.num_encounters AS VARCHAR) || ' encounters and ' || CAST(f.num_codes AS VARCHAR) ||
-       ' active conditions.' AS explanation
+       printf('place %d, score %.1f of 100: %s (%d encounters, %d codes on record)', r.rank, round(r.score * 100.0, 1),
+         CASE WHEN {" AND ".join(f"f.{c} <> 1" for c, _ in PHRASES)} THEN 'chosen by similar histories'
+              ELSE concat_ws('; ', {", ".join(f"CASE WHEN f.{c} = 1 THEN '{p}' END" for c, p in PHRASES)}) END,
+         f.num_encounters, f.num_codes) AS explanation
 FROM precs r JOIN feat f ON f.subject_id = r.subject_id""")
 def q_rec_explanations(spark, d):
     r = pop_store(spark, d).join(scalar_frame(spark, d), "subject_id")

@@ -56,6 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        # Executors of a cluster would each write to their own disk.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quillon-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -182,3 +182,16 @@ def test_hash_split_stable_under_repartition(spark):
     a, _ = MD.hash_split(df, ["k"])
     b, _ = MD.hash_split(df.repartition(13), ["k"])
     assert sorted(r.k for r in a.collect()) == sorted(r.k for r in b.collect())
+
+
+def test_write_store_keeps_other_subjects(spark, tmp_path):
+    from quillon.operators import store as ST
+    path = str(tmp_path / "store")
+    rows = [(s, r, f"i{s}{r}", 0.5) for s in range(200) for r in (1, 2)]
+    schema = "subject_id long, rank int, item_id string, score double"
+    ST.write_store(spark.createDataFrame(rows, schema), path, buckets=4)
+    ST.write_store(spark.createDataFrame([(7, 1, "new", 0.9)], schema), path, buckets=64)
+    got = spark.read.parquet(path)
+    assert got.count() == 399
+    assert [tuple(r)[:2] for r in ST.read_for_subject(got, 7).select("item_id", "rank").collect()] == [("new", 1)]
+    assert got.select("subject_bucket").distinct().count() == 4
