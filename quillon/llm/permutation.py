@@ -104,7 +104,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVO
     rows = rows.filter(F.size("vector") == (size or 0))
     items = distinct_vectors(rows, k)
     found = items.select("vector").orderBy("key").limit(pivots).collect()
-    base = np.array([r[0] for r in found], dtype=np.float64).reshape(len(found), -1)
+    base = np.array([r[0] for r in found], dtype=np.float64).reshape(len(found), size or 1)
     base /= np.maximum(np.linalg.norm(base, axis=1, keepdims=True), 1e-300)
     deep = max(depth, probe)
     items = written(with_orders(items, base, min(deep, max(1, len(found)))), "items")
