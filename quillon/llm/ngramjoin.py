@@ -43,7 +43,7 @@ from quillon.llm.shingles import shingle_sets
 
 # Of 256 hash classes, those whose shingles are counted and ordered by rarity.
 COUNTED = 51
-LEADERS, SKETCH = 8, 1024
+LEADERS, SKETCH = 4, 1024
 
 
 def _prefix_length(n, percent: int):
@@ -98,13 +98,14 @@ def _prefixes(items: DataFrame, percent: int) -> DataFrame:
             .select("uid", "n", "prefix", (F.col("n") - F.col("p")).alias("rest"), "odd"))
 
 
-def _possible(percent: int):
-    """Size, sketch and overlap bounds of two prefix rows (a.., b..)."""
+def _possible(percent: int, prefixes: bool = True):
+    """Size and sketch bounds of two rows (a.., b..), and the overlap bound of
+    their prefixes where they are at hand."""
     need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
     bits = [F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(SKETCH // 64)]
-    return ((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            & (reduce(lambda x, y: x + y, bits) <= F.col("na") + F.col("nb") - 2 * need)
-            & (F.size(F.array_intersect("pa", "pb")) + F.greatest("ra", "rb") >= need))
+    bound = ((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+             & (reduce(lambda x, y: x + y, bits) <= F.col("na") + F.col("nb") - 2 * need))
+    return bound & (F.size(F.array_intersect("pa", "pb")) + F.greatest("ra", "rb") >= need) if prefixes else bound
 
 
 def _linked(pairs: DataFrame, items: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -162,12 +163,10 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     placed = (prefixes.drop("gid").join(roots.withColumnRenamed("id", "uid"), "uid", "left")
               .withColumn("root", F.coalesce("root", "uid")).withColumn("shingle", F.explode("prefix")))
     split = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    posts = written(placed.join(split, "shingle").select("shingle", "uid", "root", "n", "prefix", "rest", "odd"), "posts")
-    a, b = posts.toDF("shingle", "a", "roota", "na", "pa", "ra", "oa"), posts.toDF("shingle", "b", "rootb", "nb", "pb", "rb", "ob")
-    # A pair is made once, at the first prefix shingle that it shares.
-    once = F.get(F.array_intersect("pa", "pb"), F.lit(0)) == a["shingle"]
-    rest = (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & _possible(percent) & once)
-            .select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    posts = written(placed.join(split, "shingle").select("shingle", "uid", "root", "n", "odd"), "posts")
+    a, b = posts.toDF("shingle", "a", "roota", "na", "oa"), posts.toDF("shingle", "b", "rootb", "nb", "ob")
+    rest = (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & _possible(percent, False))
+            .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     rest = written(rest, "pairs")
     if not rest.isEmpty():
         links = links.union(_linked(rest, items, docs, size, percent))
