@@ -13,8 +13,12 @@
 Links only have to give the right components, so pairs are tried in two
 rounds: each item with its group's first and with up to ``LEADERS`` leaders of
 its prefix shingles; then every pair that the rules of step 3 allow and the
-first round left in different components.  Families of copies thus cost a few
-pairs per member, and no link is lost.
+first round left in different components, each made once, at the first prefix
+shingle that the two share.  One leader is the most central item, that whose
+shingles occur in the most items: edited copies resemble their source more than
+each other.  Families of copies thus cost a few pairs per member, and no link is
+lost.  Prefix shingles are posted by 32 of their bits; two that agree in these
+only bring further candidates.
 
 Both rounds also use odd sketches, ``SKETCH`` parity bits of each whole set:
 two sketches differ in at most as many bits as the sets differ in shingles, so
@@ -81,7 +85,8 @@ def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _prefixes(items: DataFrame, percent: int) -> DataFrame:
-    """uid, n, prefix (shared shingles only), rest (shingles behind it), sketch."""
+    """uid, n, prefix (32 bits of its shared shingles), rest (shingles that may
+    lie behind it), sketch, central (mean log count of the counted shingles)."""
     posts = items.select("uid", F.explode(F.concat("counted", "fill")).alias("shingle"))
     often = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     late = F.col("shingle").bitwiseAND(F.lit(255)) >= COUNTED
@@ -93,19 +98,22 @@ def _prefixes(items: DataFrame, percent: int) -> DataFrame:
     take = F.greatest(F.lit(0), F.col("p") - F.col("alone"))
     return (shared.join(items.select("uid", "n", F.size("counted").alias("n_counted"), "odd"), "uid")
             .withColumn("p", p).withColumn("early", early).withColumn("alone", alone)
-            .withColumn("prefix", F.transform(F.concat(F.slice("early", F.lit(1), take), F.filter("s", lambda x: x["late"])), lambda x: x["shingle"]))
+            .withColumn("all", F.transform(F.concat(F.slice("early", F.lit(1), take), F.filter("s", lambda x: x["late"])),
+                                           lambda x: F.shiftright(x["shingle"], 32).cast("int")))
+            .withColumn("prefix", F.array_distinct("all"))
             .filter(F.size("prefix") > 0)
-            .select("uid", "n", "prefix", (F.col("n") - F.col("p")).alias("rest"), "odd"))
+            .withColumn("logs", F.aggregate("early", F.lit(0.0), lambda t, x: t + F.log(x["df"].cast("double"))))
+            .select("uid", "n", "prefix", (F.col("n") - F.col("p") + F.size("all") - F.size("prefix")).alias("rest"), "odd",
+                    (F.col("logs") / F.greatest(F.lit(1), F.col("n_counted"))).alias("central")))
 
 
-def _possible(percent: int, prefixes: bool = True):
-    """Size and sketch bounds of two rows (a.., b..), and the overlap bound of
-    their prefixes where they are at hand."""
+def _possible(percent: int):
+    """Size, sketch and overlap bounds of two prefix rows (a.., b..)."""
     need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
     bits = [F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(SKETCH // 64)]
-    bound = ((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-             & (reduce(lambda x, y: x + y, bits) <= F.col("na") + F.col("nb") - 2 * need))
-    return bound & (F.size(F.array_intersect("pa", "pb")) + F.greatest("ra", "rb") >= need) if prefixes else bound
+    return ((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            & (reduce(lambda x, y: x + y, bits) <= F.col("na") + F.col("nb") - 2 * need)
+            & (F.size(F.array_intersect("pa", "pb")) + F.greatest("ra", "rb") >= need))
 
 
 def _linked(pairs: DataFrame, items: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -144,15 +152,19 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     heads_of = prefixes.groupBy("gid").agg(F.min("uid").alias("b"))
     within = prefixes.select("gid", F.col("uid").alias("a")).join(heads_of, "gid").filter("a <> b").select("a", "b")
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
-    # A shingle's leader is the item whose uid is nearest to one of LEADERS
-    # constants (by XOR), so that a family is not tied to a single member.
+    # A shingle's leaders are its most central item (turn LEADERS) and the item
+    # whose uid is nearest to one of LEADERS constants (by XOR), so that a family
+    # is not tied to a single member.
     turn = F.pmod("shingle", F.lit(LEADERS)).cast("int")
     salt = F.element_at(F.array(*[F.lit(hash_seed(i) >> 1 & (1 << 62) - 1) for i in range(LEADERS)]), F.col("turn") + 1)
     reps = (prefixes.join(heads_of.withColumnRenamed("b", "uid"), ["gid", "uid"])
-            .select("uid", band.alias("band"), F.explode("prefix").alias("shingle")).withColumn("turn", turn).withColumn("salt", salt))
-    leaders = (reps.groupBy("shingle", "band", "salt").agg(F.min(F.col("uid").bitwiseXOR(F.col("salt"))).alias("m"))
-               .select("shingle", "band", F.col("m").bitwiseXOR(F.col("salt")).alias("b")))
-    across = (reps.join(leaders, ["shingle", "band"]).filter("uid <> b").groupBy(F.col("uid").alias("a"), "turn", "b").count()
+            .select("uid", "central", band.alias("band"), F.explode("prefix").alias("shingle")).withColumn("turn", turn).withColumn("salt", salt))
+    leaders = (reps.groupBy("shingle", "band", "turn", "salt")
+               .agg(F.min(F.col("uid").bitwiseXOR(F.col("salt"))).alias("m"), F.max_by("uid", F.struct("central", "uid")).alias("c"))
+               .select("shingle", "band", F.explode(F.array(F.struct("turn", F.col("m").bitwiseXOR(F.col("salt")).alias("b")),
+                                                            F.struct(F.lit(LEADERS).alias("turn"), F.col("c").alias("b")))).alias("l"))
+               .select("shingle", "band", "l.turn", "l.b"))
+    across = (reps.drop("turn").join(leaders, ["shingle", "band"]).filter("uid <> b").groupBy(F.col("uid").alias("a"), "turn", "b").count()
               .groupBy("a", "turn").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
     side = prefixes.select("uid", "n", "prefix", "rest", "odd")
     tried = written(within.union(across).distinct().join(side.toDF("a", "na", "pa", "ra", "oa"), "a").join(side.toDF("b", "nb", "pb", "rb", "ob"), "b")
@@ -160,13 +172,14 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     links = _linked(tried, items, docs, size, percent)
     roots = components(links)
 
-    placed = (prefixes.drop("gid").join(roots.withColumnRenamed("id", "uid"), "uid", "left")
+    placed = (prefixes.drop("gid", "central").join(roots.withColumnRenamed("id", "uid"), "uid", "left")
               .withColumn("root", F.coalesce("root", "uid")).withColumn("shingle", F.explode("prefix")))
     split = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    posts = written(placed.join(split, "shingle").select("shingle", "uid", "root", "n", "odd"), "posts")
-    a, b = posts.toDF("shingle", "a", "roota", "na", "oa"), posts.toDF("shingle", "b", "rootb", "nb", "ob")
-    rest = (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & _possible(percent, False))
-            .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    posts = written(placed.join(split, "shingle").select("shingle", "uid", "root", "n", "prefix", "rest", "odd"), "posts")
+    a, b = posts.toDF("shingle", "a", "roota", "na", "pa", "ra", "oa"), posts.toDF("shingle", "b", "rootb", "nb", "pb", "rb", "ob")
+    once = F.get(F.array_intersect("pa", "pb"), F.lit(0)) == a["shingle"]
+    rest = (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & _possible(percent) & once)
+            .select("a", "b").join(tried, ["a", "b"], "left_anti"))
     rest = written(rest, "pairs")
     if not rest.isEmpty():
         links = links.union(_linked(rest, items, docs, size, percent))
