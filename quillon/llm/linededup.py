@@ -9,8 +9,10 @@ candidates; full character-shingle sets decide exactly (Jaccard of at least
 first line of each class (by doc_id, then row identity, then position) stays.
 
 No bucket is expanded to all its pairs: the first round compares each line
-with a leader in each of its buckets, the second those pairs of a bucket that
-the first one left in different classes and whose signatures agree enough.
+with two leaders in each of its buckets (one picked by hash, and the most
+central one, that whose buckets are the fullest: edited lines resemble their
+source more than each other), the second those pairs of a bucket that the first
+one left in different classes and whose signatures agree enough.
 
 Hot lines: one line repeated in a third of all rows is collapsed by a partial
 aggregate before anything is shuffled by line.  The distinct lines are a
@@ -74,17 +76,26 @@ def signatures(lines: DataFrame, shingle: int, values: int) -> DataFrame:
 
 
 def buckets(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
-    """(b, band, line_key, leader) of the lines that share a band with another.
-    Each band takes the leader nearest to a constant of its own, so that a
-    family of lines is not tied to a single member."""
+    """(b, band, line_key, n) of the lines that share a band with another, n
+    being the lines of the band."""
     signed = signatures(lines, shingle, rows * bands)
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"s{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+    return (signed.select("line_key", F.posexplode(keys).alias("b", "band"))
+            .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band")))
+            .filter("n > 1"))
+
+
+def led(shared: DataFrame, bands: int) -> DataFrame:
+    """Pairs (a, b) of each line with its buckets' leaders.  The leader by hash is
+    nearest to a constant of the band's number, so that a family of lines is not
+    tied to a single member."""
     salt = F.element_at(F.array(*[F.lit(hash_seed(100 + b)) for b in range(bands)]), F.col("b") + 1)
-    w = Window.partitionBy("band")
-    return (signed.select("line_key", F.posexplode(keys).alias("b", "band")).withColumn("salt", salt)
-            .withColumn("leader", F.min(F.col("line_key").bitwiseXOR(F.col("salt"))).over(w).bitwiseXOR(F.col("salt")))
-            .withColumn("n", F.count(F.lit(1)).over(w))
-            .filter("n > 1").drop("n", "salt"))
+    central = shared.groupBy("line_key").agg(F.sum(F.log("n")).alias("central"))
+    leaders = (shared.join(central, "line_key").withColumn("salt", salt).groupBy("band", "salt")
+               .agg(F.min(F.col("line_key").bitwiseXOR(F.col("salt"))).alias("m"), F.max_by("line_key", F.struct("central", "line_key")).alias("c"))
+               .select("band", F.explode(F.array_distinct(F.array(F.col("m").bitwiseXOR(F.col("salt")), F.col("c")))).alias("leader")))
+    return (shared.join(leaders, "band").filter("line_key <> leader")
+            .select(F.greatest("line_key", "leader").alias("a"), F.least("line_key", "leader").alias("b")).distinct())
 
 
 def hash_seed(i: int) -> int:
@@ -109,7 +120,7 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, rows: int = ROWS, ban
                  threshold: int = THRESHOLD) -> DataFrame:
     """(id, root) of the distinct lines that have a similar one."""
     shared = written(buckets(lines, shingle, rows, bands), "bands")
-    tried = (shared.filter("line_key <> leader").select(F.greatest("line_key", "leader").alias("a"), F.least("line_key", "leader").alias("b")).distinct())
+    tried = written(led(shared, bands), "pairs")
     star = written(verified(tried, lines, shingle, threshold), "links")
     first = components(star)
     placed = shared.join(first.withColumnRenamed("id", "line_key"), "line_key", "left").select(
