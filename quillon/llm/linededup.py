@@ -12,7 +12,10 @@ No bucket is expanded to all its pairs: the first round compares each line
 with two leaders in each of its buckets (one picked by hash, and the most
 central one, that whose buckets are the fullest: edited lines resemble their
 source more than each other), the second those pairs of a bucket that the first
-one left in different classes and whose signatures agree enough.
+one left in different classes.  Before shingles are compared, a pair must pass
+the bound of its odd sketches: ``SKETCH`` parity bits of a line's whole shingle
+set differ in at most as many bits as two sets differ in shingles, so a pair
+that differs in more is none, and the bound loses nothing.
 
 Hot lines: one line repeated in a third of all rows is collapsed by a partial
 aggregate before anything is shuffled by line.  The distinct lines are a
@@ -37,9 +40,7 @@ from quillon.llm.components import components
 from quillon.session import checkpoint_dir
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 10, 3, 8, 80
-# Of 24 signature values, those that a pair of the second round must share (at a
-# similarity of 0.8, 99.6 % of pairs do).
-AGREE = 14
+SKETCH = 1024
 
 
 def _lines(column: str = "text"):
@@ -103,14 +104,34 @@ def hash_seed(i: int) -> int:
     return ((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63)
 
 
+def _shingles(line, shingle: int):
+    """Distinct hashes of all character shingles of a line."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{shingle}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
+
+
+def sketches(lines: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """(line_key, size, odd): shingle count and odd sketch of the asked lines."""
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH // 64 - 1))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    odd = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(SKETCH // 64)]
+    return (lines.join(keys, "line_key", "left_semi").select("line_key", F.explode(_shingles(F.col("line"), shingle)).alias("h"))
+            .groupBy("line_key").agg(F.count(F.lit(1)).cast("int").alias("size"), F.array(*odd).alias("odd")))
+
+
+def _possible(threshold: int):
+    """Size and sketch bounds of two rows (na, oa) and (nb, ob)."""
+    need = F.expr(f"({threshold} * (na + nb) + {99 + threshold}) div {100 + threshold}")
+    bits = [F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(SKETCH // 64)]
+    return ((100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+            & (reduce(lambda x, y: x + y, bits) <= F.col("na") + F.col("nb") - 2 * need))
+
+
 def verified(pairs: DataFrame, lines: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    def shingles(c):
-        return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{shingle}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
-
     text = lines.select("line_key", "line")
     x, y = text.toDF("a", "line_a"), text.toDF("b", "line_b")
-    both = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", shingles("line_a").alias("p"), shingles("line_b").alias("q"))
+    both = (pairs.distinct().join(x, "a").join(y, "b")
+            .select("a", "b", _shingles(F.col("line_a"), shingle).alias("p"), _shingles(F.col("line_b"), shingle).alias("q")))
     common = F.size(F.array_intersect("p", "q"))
     return (both.withColumn("common", common)
             .filter(100 * F.col("common") >= threshold * (F.size("p") + F.size("q") - F.col("common"))).select("a", "b"))
@@ -120,24 +141,23 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, rows: int = ROWS, ban
                  threshold: int = THRESHOLD) -> DataFrame:
     """(id, root) of the distinct lines that have a similar one."""
     shared = written(buckets(lines, shingle, rows, bands), "bands")
-    tried = written(led(shared, bands), "pairs")
+    known = written(sketches(lines, shared.select("line_key").distinct(), shingle), "sketches")
+    tried = (led(shared, bands).join(known.toDF("a", "na", "oa"), "a").join(known.toDF("b", "nb", "ob"), "b")
+             .filter(_possible(threshold)).select("a", "b"))
+    tried = written(tried, "pairs")
     star = written(verified(tried, lines, shingle, threshold), "links")
     first = components(star)
     placed = shared.join(first.withColumnRenamed("id", "line_key"), "line_key", "left").select(
-        F.col("b").alias("at"), "band", "line_key", F.coalesce("root", "line_key").alias("root"))
+        "band", "line_key", F.coalesce("root", "line_key").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     placed = written(placed.join(mixed, "band"), "mixed")
-    n = rows * bands
-    signed = signatures(lines.join(placed.select("line_key").distinct(), "line_key", "left_semi"), shingle, n)
-    signed = written(placed.join(signed.select("line_key", F.array(*[f"s{i}" for i in range(n)]).alias("s")), "line_key")
-                     .select("at", "band", "line_key", "root", "s"), "signed")
-    x, y = signed.toDF("at", "band", "a", "ra", "sa"), signed.toDF("at2", "band", "b", "rb", "sb")
-    same = [F.get("sa", F.lit(i)) == F.get("sb", F.lit(i)) for i in range(n)]
-    alike = reduce(lambda p, q: p + q, [c.cast("int") for c in same]) >= AGREE * n / 24
+    # At most ``bands`` numbers a line.
+    own = placed.groupBy("line_key").agg(F.sort_array(F.collect_set("band")).alias("own"))
+    posts = written(placed.join(own, "line_key").join(known, "line_key").select("band", "line_key", "root", "own", "size", "odd"), "posts")
+    x, y = posts.toDF("band", "a", "ra", "ba", "na", "oa"), posts.toDF("band", "b", "rb", "bb", "nb", "ob")
     # A pair is made once, in the first band that it shares.
-    whole = F.array(*[reduce(lambda p, q: p & q, same[k * rows:(k + 1) * rows]) for k in range(bands)])
-    once = F.array_position(whole, F.lit(True)) == F.col("at") + 1
-    rest = (x.join(y, (x["band"] == y["band"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & alike & once)
+    once = F.get(F.array_intersect("ba", "bb"), F.lit(0)) == x["band"]
+    rest = (x.join(y, (x["band"] == y["band"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & _possible(threshold) & once)
             .select("a", "b").join(tried, ["a", "b"], "left_anti"))
     more = written(verified(rest, lines, shingle, threshold), "links")
     return components(star.union(more)) if not more.isEmpty() else first
