@@ -13,8 +13,8 @@
 Links only have to give the right components, so pairs are tried in two
 rounds: each item with its group's first and with up to ``LEADERS`` leaders of
 its prefix shingles; then every pair that the rules of step 3 allow and the
-first round left in different components, each made once, at the first prefix
-shingle that the two share.  One leader is the most central item, that whose
+first round left in different components, made at the first prefix shingle that
+the two share.  One leader is the most central item, that whose
 shingles occur in the most items: edited copies resemble their source more than
 each other.  Families of copies thus cost a few pairs per member, and no link is
 lost.  Prefix shingles are posted by 32 of their bits; two that agree in these
@@ -48,6 +48,8 @@ from quillon.llm.shingles import shingle_sets
 # Of 256 hash classes, those whose shingles are counted and ordered by rarity.
 COUNTED = 51
 LEADERS, SKETCH = 4, 1024
+# Prefix shingles that a posting of the second round may list.
+POSTED = 64
 
 
 def _prefix_length(n, percent: int):
@@ -107,13 +109,14 @@ def _prefixes(items: DataFrame, percent: int) -> DataFrame:
                     (F.col("logs") / F.greatest(F.lit(1), F.col("n_counted"))).alias("central")))
 
 
-def _possible(percent: int):
-    """Size, sketch and overlap bounds of two prefix rows (a.., b..)."""
+def _possible(percent: int, prefixes: bool = True):
+    """Size and sketch bounds of two rows (a.., b..), and the overlap bound of
+    their prefixes where they are at hand."""
     need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
     bits = [F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(SKETCH // 64)]
-    return ((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            & (reduce(lambda x, y: x + y, bits) <= F.col("na") + F.col("nb") - 2 * need)
-            & (F.size(F.array_intersect("pa", "pb")) + F.greatest("ra", "rb") >= need))
+    bound = ((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+             & (reduce(lambda x, y: x + y, bits) <= F.col("na") + F.col("nb") - 2 * need))
+    return bound & (F.size(F.array_intersect("pa", "pb")) + F.greatest("ra", "rb") >= need) if prefixes else bound
 
 
 def _linked(pairs: DataFrame, items: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -172,14 +175,19 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     links = _linked(tried, items, docs, size, percent)
     roots = components(links)
 
-    placed = (prefixes.drop("gid", "central").join(roots.withColumnRenamed("id", "uid"), "uid", "left")
-              .withColumn("root", F.coalesce("root", "uid")).withColumn("shingle", F.explode("prefix")))
+    placed = (prefixes.select("uid", F.explode("prefix").alias("shingle")).join(roots.withColumnRenamed("id", "uid"), "uid", "left")
+              .withColumn("root", F.coalesce("root", "uid")))
     split = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    posts = written(placed.join(split, "shingle").select("shingle", "uid", "root", "n", "prefix", "rest", "odd"), "posts")
-    a, b = posts.toDF("shingle", "a", "roota", "na", "pa", "ra", "oa"), posts.toDF("shingle", "b", "rootb", "nb", "pb", "rb", "ob")
-    once = F.get(F.array_intersect("pa", "pb"), F.lit(0)) == a["shingle"]
-    rest = (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & _possible(percent) & once)
-            .select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    mixed = written(placed.join(split, "shingle"), "mixed")
+    # Only short lists are posted along, so that a posting stays small; pairs of
+    # longer ones may be made at several shingles and are told apart after.
+    own = (mixed.groupBy("uid").agg(F.sort_array(F.collect_list("shingle")).alias("own"))
+           .select("uid", F.when(F.size("own") <= POSTED, F.col("own")).alias("own")))
+    posts = written(mixed.join(own, "uid").join(prefixes.select("uid", "n", "odd"), "uid").select("shingle", "uid", "root", "n", "own", "odd"), "posts")
+    a, b = posts.toDF("shingle", "a", "roota", "na", "pa", "oa"), posts.toDF("shingle", "b", "rootb", "nb", "pb", "ob")
+    once = F.coalesce(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == a["shingle"], F.lit(True))
+    rest = (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & _possible(percent, False) & once)
+            .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     rest = written(rest, "pairs")
     if not rest.isEmpty():
         links = links.union(_linked(rest, items, docs, size, percent))
