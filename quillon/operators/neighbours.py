@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import ranking as R
+from quillon.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -131,17 +132,18 @@ def sigmoid(x, gain: float) -> F.Column:
 
 
 def calibrate(raw: DataFrame, pop: DataFrame, p: NeighbourParams) -> DataFrame:
-    """N7 L1 -> N8 min-max (all equal -> 0.5) -> N9 sigmoid -> N10 blend with popularity."""
-    stats = raw.groupBy("subject_id").agg(F.sum("raw").alias("_tot"))
-    r = raw.join(stats, "subject_id").withColumn(
-        "l1", F.when(F.col("_tot") > 0, F.col("raw") / F.col("_tot")).otherwise(F.col("raw")))
-    mm = r.groupBy("subject_id").agg(F.min("l1").alias("_lo"), F.max("l1").alias("_hi"))
-    r = r.join(mm, "subject_id").withColumn(
-        "mm", F.when(F.col("_hi") == F.col("_lo"), F.lit(0.5))
-               .otherwise((F.col("l1") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))))
-    cal = sigmoid(F.col("mm"), p.sigmoid_gain) if p.sigmoid_sharpen else F.col("mm")
+    """N7 L1 -> N8 min-max (all equal -> 0.5) -> N9 sigmoid -> N10 blend with popularity.
+
+    One aggregate serves both normalisations: the L1 total is positive or
+    leaves the scores as they are, so it moves no minimum or maximum.
+    """
+    stats = raw.groupBy("subject_id").agg(F.sum("raw").alias("_tot"), F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
+    per = F.when(F.col("_tot") > 0, F.col("_tot")).otherwise(F.lit(1.0))
+    l1, lo, hi = F.col("raw") / per, F.col("_lo") / per, F.col("_hi") / per
+    mm = F.when(hi == lo, F.lit(0.5)).otherwise((l1 - lo) / (hi - lo))
+    cal = sigmoid(mm, p.sigmoid_gain) if p.sigmoid_sharpen else mm
     a = p.baseline_blend
-    return (r.join(pop.select("item_id", "pop"), "item_id", "left")
+    return (raw.join(stats, "subject_id").join(pop.select("item_id", "pop"), "item_id", "left")
             .select("subject_id", "item_id",
                     ((1.0 - a) * cal + a * F.coalesce(F.col("pop"), F.lit(0.0))).alias("score")))
 
@@ -166,7 +168,7 @@ def recommend(subjects: DataFrame, edges: DataFrame, history: DataFrame, known:
     or no scored candidate fall back to popularity (N11).
     """
     fit = fit_history if fit_history is not None else history
-    pop = item_popularity(fit, keys)
+    pop = cut_lineage(item_popularity(fit, keys))
     if pop_rank is None:
         pop_rank = R.global_rank(pop, [F.col("freq").desc(), F.col("item_id").asc()])
     hist_r = R.recency_rank(history.join(keys.select("subject_id"), "subject_id", "left_semi"))
@@ -175,33 +177,22 @@ def recommend(subjects: DataFrame, edges: DataFrame, history: DataFrame, known:
     warm = (subjects.select("subject_id").join(n_known, "subject_id", "left")
             .filter(F.coalesce(F.col("n_known"), F.lit(0)) >= p.min_known).select("subject_id"))
     neigh = select_neighbours(edges.join(warm.withColumnRenamed("subject_id", "src"), "src", "left_semi"), p)
-    raw = score_candidates(neigh, hist_r, known, keys, idf, sizes, gidf, p)
-    scored = apply_score_threshold(calibrate(raw, pop, p), p.score_threshold)
-    scored_subj = scored.select("subject_id").distinct()
-    # Warm subjects: scored items plus the best unscored items (score = blend * pop).
-    warm_s = warm.join(scored_subj, "subject_id", "left_semi")
-    excl = known.select("subject_id", "item_id").unionByName(scored.select("subject_id", "item_id"))
-    fill = (R.top_k_excluding(pop_rank, warm_s, excl.join(warm_s, "subject_id", "left_semi"), p.top_k)
-            .select("subject_id", "item_id", (F.lit(p.baseline_blend) * F.col("pop")).alias("score")))
-    warm_top = R.top_k(scored.unionByName(fill), p.top_k).withColumn("source", F.lit("neighbours"))
-    # Cold subjects (N11): popularity over unseen items, unblended.
-    cold = subjects.select("subject_id").join(warm_s, "subject_id", "left_anti")
-    cold_top = (R.top_k_excluding(pop_rank, cold, known.join(cold, "subject_id", "left_semi"), p.top_k)
-                .select("subject_id", "item_id", F.col("pop").alias("score")))
-    cold_top = R.top_k(cold_top, p.top_k).withColumn("source", F.lit("popularity"))
-    return warm_top.unionByName(cold_top).select("subject_id", "rank", "item_id", "score", "source")
-
-
-def calibrated_all(subjects, edges, history, known, keys, p: NeighbourParams, fit_history=None):
-    """Scored candidates (calibrated) for warm subjects plus the popularity table;
-    used by the AUC metric, which must see every unseen item's score."""
-    fit = fit_history if fit_history is not None else history
-    pop = item_popularity(fit, keys)
-    hist_r = R.recency_rank(history.join(keys.select("subject_id"), "subject_id", "left_semi"))
-    idf, sizes, gidf = cohort_idf(keys, fit)
-    n_known = known.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_known"))
-    warm = (subjects.select("subject_id").join(n_known, "subject_id", "left")
-            .filter(F.coalesce(F.col("n_known"), F.lit(0)) >= p.min_known).select("subject_id"))
-    neigh = select_neighbours(edges.join(warm.withColumnRenamed("subject_id", "src"), "src", "left_semi"), p)
-    raw = score_candidates(neigh, hist_r, known, keys, idf, sizes, gidf, p)
-    return calibrate(raw, pop, p), pop
+    # Read twice by the calibration, so computed once.
+    raw = cut_lineage(score_candidates(neigh, hist_r, known, keys, idf, sizes, gidf, p))
+    best = cut_lineage(R.top_k(calibrate(raw, pop, p), p.top_k).select("subject_id", "item_id", "score"))
+    # The best unseen items by popularity complete the list.  A calibrated score
+    # is at least blend * pop, so the k best scored and the k most popular
+    # unseen items hold the k best of all, an item in both with its larger score.
+    scored_subj = best.select("subject_id", F.lit(True).alias("warm")).distinct()
+    fill = (R.top_k_excluding(pop_rank, subjects, known, p.top_k).join(scored_subj, "subject_id", "left")
+            .withColumn("warm", F.coalesce("warm", F.lit(False))))
+    fill = fill.select("subject_id", "item_id",
+                       F.when(F.col("warm"), F.lit(p.baseline_blend) * F.col("pop")).otherwise(F.col("pop")).alias("score"), "warm")
+    every = (best.withColumn("warm", F.lit(True)).unionByName(fill)
+             .groupBy("subject_id", "item_id", "warm").agg(F.max("score").alias("score")))
+    # Subjects without a scored item get popularity, unblended.
+    source = F.when(F.col("warm"), F.lit("neighbours")).otherwise(F.lit("popularity"))
+    top = R.top_k(every, p.top_k)
+    if p.score_threshold > 0.0:
+        top = apply_score_threshold(top.filter("warm"), p.score_threshold).unionByName(top.filter("not warm"))
+    return top.select("subject_id", "rank", "item_id", "score", source.alias("source"))

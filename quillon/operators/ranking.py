@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillon.session import cut_lineage
+from quillon.session import bounded_broadcast, cut_lineage
+
+# Ranks counted together in ``top_k_excluding``.
+RANK_BUCKET = 1024
 
 
 def recency_rank(history: DataFrame, subject: str = "subject_id", date: str = "last_date",
@@ -102,19 +105,29 @@ def top_k_excluding(ranked_items: DataFrame, subjects: DataFrame, exclude: DataF
     """Per subject, the first k items of a globally ranked list that are
     not in the subject's exclusion set.
 
-    Exact: the answer lies within global ranks 1..k+|excluded(s)|, so each
-    subject expands to that many rank slots (linear in the data), joins the
-    ranked list on rank, drops excluded pairs and keeps the first k.
+    Exact by counting, k rows per subject whatever it excludes: the i-th
+    excluded rank r of a subject has ``r - i`` free ranks before it, so the
+    j-th free rank is ``j + #(excluded with r - i < j)``.  The place i is a
+    prefix count over rank buckets plus a row number inside one bucket, so no
+    window holds more than ``RANK_BUCKET`` rows or the number of buckets.
+    Repeated exclusions count once; excluded items outside the list change
+    nothing; a list that runs out gives fewer than k rows.
     """
-    n_ex = exclude.groupBy(subject).agg(F.count(F.lit(1)).alias("_nx"))
-    slots = (subjects.select(subject).join(n_ex, subject, "left")
-             .select(subject, F.explode(F.sequence(F.lit(1).cast("long"),
-                                                   (F.lit(k) + F.coalesce(F.col("_nx"), F.lit(0))).cast("long")))
-                     .alias(rank_col)))
-    cand = (slots.join(ranked_items, rank_col)
-            .join(exclude.select(subject, item), [subject, item], "left_anti"))
-    w = Window.partitionBy(subject).orderBy(F.col(rank_col).asc())
-    return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    held = (exclude.select(subject, item).distinct().join(ranked_items.select(item, F.col(rank_col).alias("_r")), item)
+            .select(subject, "_r", F.floor(F.col("_r") / RANK_BUCKET).alias("_b")))
+    w = Window.partitionBy(subject).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = (held.groupBy(subject, "_b").agg(F.count(F.lit(1)).alias("_n"))
+              .select(subject, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(subject, "_b").orderBy("_r"))
+    free = held.join(before, [subject, "_b"]).select(subject, (F.col("_r") - place).alias("_free"))
+    steps = (free.filter(F.col("_free") < k).groupBy(subject)
+             .agg(F.array(*[F.count_if(F.col("_free") < j) + j for j in range(1, k + 1)]).alias("_at")))
+    untouched = F.array(*[F.lit(j).cast("long") for j in range(1, k + 1)])
+    slots = (subjects.select(subject).join(steps, subject, "left")
+             .select(subject, F.explode(F.coalesce("_at", untouched)).alias(rank_col)))
+    # Every subject asks for a rank near 1..k; a list of checked size is
+    # broadcast, so that those ranks are no hot join keys.
+    return slots.join(bounded_broadcast(ranked_items), rank_col)
 
 
 def prefix_sums(df: DataFrame, order, cols, checkpoint: bool = True) -> DataFrame:

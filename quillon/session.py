@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every quillon job relies on.  AQE is left on so shuffle partition
 # counts and join strategies are re-planned from runtime sizes.
@@ -74,6 +74,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint location for written tables."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)
+def bounded_broadcast(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """A broadcast hint only if the (materialised) frame has at most ``limit``
+    rows; beyond it the join is left to the shuffle and AQE's skew handling."""
+    return F.broadcast(df) if df.count() <= limit else df

@@ -120,6 +120,21 @@ def test_top_k_excluding_brute_force(spark):
     assert got == {1: [2, 3, 4, 6], 2: [0, 1, 2, 4], 3: [25, 26, 27, 28]}
 
 
+def test_top_k_excluding_with_a_hot_subject(spark):
+    """One subject excludes most of a list that spans several rank buckets,
+    with repeats and items outside the list."""
+    n = 3 * R.RANK_BUCKET
+    ranked = spark.range(n).select(F.col("id").alias("item_id"), (F.col("id") + 1).alias("rank"))
+    open_ranks = [1500, 1501, n - 1, n]
+    hot = spark.range(n).filter(~F.col("id").isin([r - 1 for r in open_ranks])).select(F.lit(1).cast("long").alias("subject_id"), F.col("id").alias("item_id"))
+    excl = hot.union(hot.limit(50)).union(spark.createDataFrame([(1, n + 7), (2, 0)], "subject_id long, item_id long"))
+    subjects = spark.createDataFrame([(1,), (2,), (3,)], "subject_id long")
+    got = {}
+    for r in R.top_k_excluding(ranked, subjects, excl, 5).collect():
+        got.setdefault(r.subject_id, []).append(r["rank"])
+    assert {s: sorted(v) for s, v in got.items()} == {1: open_ranks, 2: [2, 3, 4, 5, 6], 3: [1, 2, 3, 4, 5]}
+
+
 def test_similarity_kernel_brute_force(spark):
     emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     vecs = emb.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"),
