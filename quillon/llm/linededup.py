@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 Lines with a word are collapsed to distinct lines first.  A distinct line's
-signature has ``BANDS * ROWS`` minima over its character shingles that begin
-a word: XOR with a constant permutes the 64-bit hashes, and a permutation's
-minimum and maximum give two signature values.  Lines that share a band are
+signature has ``BANDS * ROWS`` minima over all its character shingles, those that
+verification compares: XOR with a constant permutes the 64-bit hashes, and a
+permutation's minimum and maximum give two signature values.  Lines that share a band are
 candidates; full character-shingle sets decide exactly (Jaccard of at least
 ``threshold``).  Union-find over the verified pairs gives classes, and the
 first line of each class (by doc_id, then row identity, then position) stays.
@@ -68,10 +68,9 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame, shingle: int, values: int) -> DataFrame:
     """(line_key, s0, s1, ...): ``values`` minima of each line with a shingle."""
-    starts = F.regexp_extract_all("line", F.lit(rf"(?s)(?<!\S)(?=(\S.{{{shingle - 1}}}))"), F.lit(1))
     mins = [f(F.col("h").bitwiseXOR(F.lit(hash_seed(i)))).alias(f"s{2 * i + k}")
             for i in range(-(-values // 2)) for k, f in enumerate((F.min, F.max))]
-    return (lines.select("line_key", F.explode(starts).alias("shingle"))
+    return (lines.select("line_key", F.explode(_all_shingles(F.col("line"), shingle)).alias("shingle"))
             .select("line_key", F.xxhash64("shingle").alias("h"))
             .groupBy("line_key").agg(*mins))
 
@@ -104,9 +103,14 @@ def hash_seed(i: int) -> int:
     return ((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63)
 
 
+def _all_shingles(line, shingle: int):
+    """The character shingles of a line, one from each character on."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{shingle}}}))."), F.lit(1))
+
+
 def _shingles(line, shingle: int):
     """Distinct hashes of all character shingles of a line."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{shingle}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(_all_shingles(line, shingle), lambda s: F.xxhash64(s)))
 
 
 def sketches(lines: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:

@@ -216,6 +216,20 @@ def test_line_dedup(docs, empty):
     assert linededup.line_report(empty).count() == 0
 
 
+def test_line_dedup_finds_unspaced_lines(spark):
+    rng, rows, pairs = np.random.default_rng(8), [], 150
+    for k in range(pairs):
+        alphabet = [chr(c) for c in (range(0x4E00, 0x5200) if k % 2 else range(97, 123))]
+        line = rng.choice(alphabet, 200)
+        near = line.copy()
+        # One change among the first ten characters, and one inside: Jaccard of 0.83 to 0.87.
+        near[[k % 10, 100]] = "0"
+        rows += [(2 * k, "".join(line)), (2 * k + 1, "".join(near))]
+    report = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {r.doc_id for r in report if r.n_removed}
+    assert not [i for i in removed if i % 2 == 0] and len(removed) >= 0.97 * pairs
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40) if k != 20] + [(7, 7), (None, 3)], "a long, b long")
     got = {r.id: r.root for r in components(e).collect()}
