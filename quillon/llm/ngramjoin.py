@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import maybe_broadcast, slices, written
+from quillon.llm.common import maybe_broadcast, row_key, slices, written
 from quillon.llm.components import components
 from quillon.llm.linededup import hash_seed
 from quillon.llm.shingles import shingle_sets
@@ -63,11 +63,11 @@ def odd_sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, set_id, n, counted and filler shingles of each document."""
+    """doc_id, row identity, set_id, n, counted and filler shingles of each document."""
     def scan(batches):
         for b in slices(batches):
             ids, ns, counted, fill, odd = [], [], [], [], []
-            for s in shingle_sets(b.column(1).to_pylist(), size):
+            for s in shingle_sets(b.column(2).to_pylist(), size):
                 ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 ns.append(len(s))
                 first = (s & np.uint64(255)) < COUNTED
@@ -76,13 +76,13 @@ def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 fill.append(np.sort(s[~first].view(np.int64))[:more])
                 odd.append(odd_sketch(s))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.int64()), pa.array(ns, pa.int32()),
+                [b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(ns, pa.int32()),
                  pa.array(counted, pa.list_(pa.int64())), pa.array(fill, pa.list_(pa.int64())),
                  pa.array(odd, pa.list_(pa.int64()))],
-                ["doc_id", "set_id", "n", "counted", "fill", "odd"])
+                ["doc_id", "row", "set_id", "n", "counted", "fill", "odd"])
 
-    heads = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        scan, "doc_id long, set_id long, n int, counted array<long>, fill array<long>, odd array<long>")
+    heads = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(
+        scan, "doc_id long, row long, set_id long, n int, counted array<long>, fill array<long>, odd array<long>")
     return written(heads.withColumn("uid", F.monotonically_increasing_id()), "heads")
 
 
@@ -142,9 +142,9 @@ def _linked(pairs: DataFrame, items: DataFrame, docs: DataFrame, size: int, perc
                    .select("a", "b").distinct(), "links")
 
 
-def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links_found
-    (links that the join needed for this item's text)."""
+def _joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The heads, the sets (set_id, uid, first_id, root of the component) and the
+    links that the components needed."""
     heads = _heads(docs, size, percent)
     one = heads.filter("n > 0").groupBy("set_id").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"))
     copies = written(heads.filter("n > 0").select("uid", "set_id").join(one.select("set_id", F.col("uid").alias("rep")), "set_id")
@@ -193,7 +193,13 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         links = links.union(_linked(rest, items, docs, size, percent))
         roots = components(links)
 
-    sets = one.join(roots.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    return heads, one.join(roots.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), links
+
+
+def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links_found
+    (links that the join needed for this item's text)."""
+    heads, sets, links = _joined(docs, size, percent)
     named = sets.groupBy("root").agg(F.min("first_id").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
     sets = (sets.join(named, "root").join(degree, "uid", "left")
@@ -204,9 +210,22 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         "doc_id", F.col("n").cast("long"), F.col("doc_id"), F.lit(0).cast("long")))
 
 
-def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """The documents without near copies: the smallest doc_id of each component
-    stays (rows that share it stay together); columns as given."""
-    drop = (similar_components(docs, **params).filter("doc_id <> component_id or (doc_id is null and component_id is not null)")
-            .select(F.col("doc_id").alias("__drop")).distinct())
-    return docs.join(maybe_broadcast(written(drop, "drop")), F.col("doc_id").eqNullSafe(F.col("__drop")), "left_anti")
+def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """One row of each component: that with the smallest doc_id (null ids last),
+    then row identity (doc_id and text); of rows equal in both one stays, picked
+    by a hash of all columns.  Rows without words link with nothing and all stay;
+    columns as given."""
+    heads, sets, _ = _joined(docs, size, percent)
+    rows = heads.filter("n > 0").groupBy("row").agg(F.min("set_id").alias("set_id"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"))
+    placed = rows.join(sets.select("set_id", "root"), "set_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    heirs = placed.groupBy("root").agg(F.min(order)["row"].alias("heir"))
+    # A row that stays and is given once needs no mark.
+    marks = written(placed.join(heirs, "root").select("row", (F.col("row") == F.col("heir")).alias("stays"), "n_rows")
+                    .filter("not stays or n_rows > 1").select(F.col("row").alias("__row"), F.col("stays").alias("__stays")), "marks")
+    keyed, names = docs.withColumn("__row", row_key("doc_id", "text")), docs.columns
+    single = keyed.join(maybe_broadcast(marks.select("__row")), "__row", "left_anti").select(*names)
+    # Partial aggregate: a row repeated in a third of all rows is collapsed before the shuffle.
+    again = (keyed.join(maybe_broadcast(marks.filter("__stays").select("__row")), "__row", "left_semi")
+             .groupBy("__row").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__one")).select("__one.*"))
+    return single.unionByName(again)

@@ -204,6 +204,18 @@ def test_ngram_join(docs, empty, size, percent):
     assert one.columns == docs.columns and {1, 4, 5, 6} <= {r.doc_id for r in one.collect()} and one.filter("doc_id = 2").isEmpty()
 
 
+def test_one_of_each_decides_by_row(spark):
+    other, clean = " ".join(f"other{i}" for i in range(60)), " ".join(f"clean{i}" for i in range(60))
+    lone, near = " ".join(f"lone{i}" for i in range(60)), BASE.replace("wörd7 ", "other ")
+    rows = [(1, BASE, "a"), (1, BASE, "b"), (1, BASE, "a"), (None, near, "a"), (2, near, "a"), (None, clean, "a"), (2, lone, "a"),
+            (None, other, "a"), (None, other, "a"), (None, other + " end", "a"), (3, None, "a"), (3, "", "a"), (None, " ", "a"), (None, " ", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in ngramjoin.one_of_each(df, size=5, percent=80).collect())
+    family = [k for k in got if k[0] is None and k[1].startswith("other")]
+    assert len(family) == 1 and got.pop(family[0]) == 1
+    assert got == Counter([(1, BASE), (None, clean), (2, lone), (3, None), (3, ""), (None, " "), (None, " ")])
+
+
 def test_line_dedup(docs, empty):
     rows = {r.doc_id: r for r in linededup.line_report(docs).collect()}
     assert rows[6].kept_lines == [0, 3] and rows[6].n_removed == 1 and rows[2].n_removed == 1 and rows[1].n_removed == 0
