@@ -10,14 +10,15 @@
     prefix shingle are filtered by size and by the largest overlap that their
     prefixes allow, then expanded to members, whose full sets decide.
 
-Links only have to give the right components, so pairs are tried in two
+Pairs are tried in two
 rounds: each item with its group's first and with up to ``LEADERS`` leaders of
-its prefix shingles; then every pair that the rules of step 3 allow and the
-first round left in different components, made at the first prefix shingle that
-the two share.  One leader is the most central item, that whose
+its prefix shingles; then every other pair that the size and sketch bounds allow, made
+at the first prefix shingle that the two share.  Where only components are asked
+for (``one_of_each``), the second round leaves out pairs that the first one put
+in one component; link counts need them all.  One leader is the most central item, that whose
 shingles occur in the most items: edited copies resemble their source more than
-each other.  Families of copies thus cost a few pairs per member, and no link is
-lost.  Prefix shingles are posted by 32 of their bits; two that agree in these
+each other.  Components of families thus cost a few pairs per member, their links as
+many pairs as there are.  Prefix shingles are posted by 32 of their bits; two that agree in these
 only bring further candidates.
 
 Both rounds also use odd sketches, ``SKETCH`` parity bits of each whole set:
@@ -142,9 +143,10 @@ def _linked(pairs: DataFrame, items: DataFrame, docs: DataFrame, size: int, perc
                    .select("a", "b").distinct(), "links")
 
 
-def _joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _joined(docs: DataFrame, size: int, percent: int, all_links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The heads, the sets (set_id, uid, first_id, root of the component) and the
-    links that the components needed."""
+    links (a, b) of the sets' uids: every one with ``all_links``, else as many as
+    the components need."""
     heads = _heads(docs, size, percent)
     one = heads.filter("n > 0").groupBy("set_id").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"))
     copies = written(heads.filter("n > 0").select("uid", "set_id").join(one.select("set_id", F.col("uid").alias("rep")), "set_id")
@@ -175,6 +177,10 @@ def _joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     links = _linked(tried, items, docs, size, percent)
     roots = components(links)
 
+    # Items with different roots are in different components; for all links each
+    # item counts as its own.
+    if all_links:
+        roots = roots.select("id", F.col("id").alias("root"))
     placed = (prefixes.select("uid", F.explode("prefix").alias("shingle")).join(roots.withColumnRenamed("id", "uid"), "uid", "left")
               .withColumn("root", F.coalesce("root", "uid")))
     split = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
@@ -191,15 +197,15 @@ def _joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     rest = written(rest, "pairs")
     if not rest.isEmpty():
         links = links.union(_linked(rest, items, docs, size, percent))
-        roots = components(links)
+    roots = components(links)
 
     return heads, one.join(roots.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), links
 
 
 def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links_found
-    (links that the join needed for this item's text)."""
-    heads, sets, links = _joined(docs, size, percent)
+    (how many different sets are linked with this document's)."""
+    heads, sets, links = _joined(docs, size, percent, all_links=True)
     named = sets.groupBy("root").agg(F.min("first_id").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
     sets = (sets.join(named, "root").join(degree, "uid", "left")
@@ -210,12 +216,19 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         "doc_id", F.col("n").cast("long"), F.col("doc_id"), F.lit(0).cast("long")))
 
 
+def similar_links(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """(a, b), a < b: all links between different sets, as set ids."""
+    _, sets, links = _joined(docs, size, percent, all_links=True)
+    x, y = sets.select(F.col("uid").alias("a"), F.col("set_id").alias("x")), sets.select(F.col("uid").alias("b"), F.col("set_id").alias("y"))
+    return links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """One row of each component: that with the smallest doc_id (null ids last),
     then row identity (doc_id and text); of rows equal in both one stays, picked
     by a hash of all columns.  Rows without words link with nothing and all stay;
     columns as given."""
-    heads, sets, _ = _joined(docs, size, percent)
+    heads, sets, _ = _joined(docs, size, percent, all_links=False)
     rows = heads.filter("n > 0").groupBy("row").agg(F.min("set_id").alias("set_id"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"))
     placed = rows.join(sets.select("set_id", "root"), "set_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")

@@ -216,6 +216,19 @@ def test_one_of_each_decides_by_row(spark):
     assert got == Counter([(1, BASE), (None, clean), (2, lone), (3, None), (3, ""), (None, " "), (None, " ")])
 
 
+def test_ngram_join_counts_every_link(spark):
+    words = BASE.split()
+    texts = [BASE, BASE] + [" ".join(words[:9 * k] + ["new"] + words[9 * k + 1:]) for k in range(1, 10)] + ["one two three four five", ""]
+    sets = [{tuple(w[k:k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    linked = lambda a, b: a != b and 100 * len(a & b) >= 85 * len(a | b)
+    classes = set(map(frozenset, sets)) - {frozenset()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links_found for r in ngramjoin.similar_components(df).collect()}
+    assert got == {k: sum(linked(s, c) for c in classes) for k, s in enumerate(sets)} and got[2] == 9
+    links = [tuple(r) for r in ngramjoin.similar_links(df).collect()]
+    assert len(links) == len(set(links)) == sum(linked(a, b) for a in classes for b in classes) // 2
+
+
 def test_line_dedup(docs, empty):
     rows = {r.doc_id: r for r in linededup.line_report(docs).collect()}
     assert rows[6].kept_lines == [0, 3] and rows[6].n_removed == 1 and rows[2].n_removed == 1 and rows[1].n_removed == 0
