@@ -182,16 +182,27 @@ def q_feature_correlation(spark, d):
 
 @query("code_vector_stats", ops=("A23",))
 def q_code_vector_stats(spark, d):
-    """Per-dimension mean of the code vector (posexplode + avg) and the
-    nonzero count per row summarised (mean, max).  Rows-only (covered
-    position by position by code_vector_long)."""
+    """Per-dimension mean of the code and the item vector (posexplode + avg) and
+    the nonzero count per row summarised (mean, max); for the item vector, whose
+    smoothed form has no zeros, entries before smoothing are counted.  Rows-only
+    (covered position by position by code_vector_long and item_vector_long)."""
     from quillon.operators import features as FT
+    from quillon.operators import vocab as voc
     f = B.frames(spark, d)
     c = FT.condition_features(f.code_events(), f.subjects(), SPEC)
-    dims = c.select(F.posexplode("code_vector").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"))
+    items = FT.item_features(f.item_events(), f.subjects(), SPEC)
+    _, held = voc.vocabulary_tfidf(f.item_events(), f.subjects(), SPEC.top_n_items)
+    held = held.filter("tfidf <> 0").groupBy("subject_id").agg(F.count(F.lit(1)).cast("int").alias("nz"))
+    item_nz = f.subjects().select("subject_id").join(held, "subject_id", "left").select(F.coalesce("nz", F.lit(0)).alias("nz"))
+
+    def stats(vector, values, nz):
+        dims = values.toDF("v").select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("mean"))
+        s = nz.agg(F.avg("nz").alias("nz_mean"), F.max("nz").alias("nz_max"))
+        return dims.select(F.lit(vector).alias("vector"), "pos", "mean", s.select("nz_mean").scalar().alias("nz_mean"),
+                           s.select("nz_max").scalar().alias("nz_max"))
+
     nz = c.select(F.aggregate("code_vector", F.lit(0), lambda acc, x: acc + F.when(x != 0, 1).otherwise(0)).alias("nz"))
-    s = nz.agg(F.avg("nz").alias("nz_mean"), F.max("nz").alias("nz_max"))
-    return dims.withColumn("nz_mean", s.select("nz_mean").scalar()).withColumn("nz_max", s.select("nz_max").scalar())
+    return stats("code", c.select("code_vector"), nz).unionByName(stats("item", items.select("item_vector_d"), item_nz))
 
 
 @query("calendar_age", ops=("P16",), sql=f"""

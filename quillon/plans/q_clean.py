@@ -55,6 +55,15 @@ def raw_patients(spark, d):
                     _s("c_acctbal").alias("HEALTHCARE_EXPENSES"), F.lit("").alias("HEALTHCARE_COVERAGE"))
 
 
+def raw_conditions(spark, d):
+    f = B.frames(spark, d)
+    j = (f.t("lineitem").join(f.t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+         .join(f.t("part"), F.col("l_partkey") == F.col("p_partkey")))
+    return j.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("START"), F.lit("").alias("STOP"),
+                    _s("o_custkey").alias("PATIENT"), _s("l_orderkey").alias("ENCOUNTER"),
+                    F.col("p_brand").alias("CODE"), F.lit("").alias("DESCRIPTION"))
+
+
 def raw_observations(spark, d):
     e = B.frames(spark, d).t("events")
     return e.select(F.date_format("ts", _TS).alias("DATE"), _s("user_id").alias("PATIENT"),
@@ -117,6 +126,44 @@ def q_clean_report(spark, d):
             .unionByName(C.reject_counts(raw_patients(spark, d), C.SUBJECTS)))
 
 
+@query("clean_report_all", ops=("V3", "V4"), sql="""
+WITH raw AS (
+  SELECT 'medications' AS table_name, concat_ws('|', CAST(l.l_shipdate AS DATE), o.o_custkey, l.l_partkey) AS key,
+         l.l_shipdate IS NULL OR o.o_custkey IS NULL OR l.l_partkey IS NULL AS no_value, false AS blank, false AS early
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  UNION ALL
+  SELECT 'conditions', concat_ws('|', CAST(o.o_orderdate AS DATE), o.o_custkey, p.p_brand),
+         o.o_orderdate IS NULL OR o.o_custkey IS NULL OR p.p_brand IS NULL, p.p_brand = '',
+         CAST(o.o_orderdate AS DATE) <= DATE '1900-01-01'
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+  UNION ALL
+  SELECT 'encounters', CAST(o_orderkey AS VARCHAR), o_orderkey IS NULL OR o_custkey IS NULL OR o_orderdate IS NULL, false, false
+  FROM orders
+  UNION ALL
+  SELECT 'observations', concat_ws('|', date_trunc('second', ts), user_id, event_type),
+         ts IS NULL OR user_id IS NULL OR event_type IS NULL OR value IS NULL, event_type = '', false
+  FROM events
+  UNION ALL
+  SELECT 'patients', CAST(c.c_custkey AS VARCHAR), c.c_custkey IS NULL OR f.first IS NULL, false,
+         CAST(f.first AS DATE) <= DATE '1900-01-01'
+  FROM customer c LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first FROM orders GROUP BY 1) f ON f.o_custkey = c.c_custkey),
+told AS (SELECT table_name, key, CASE WHEN no_value THEN 1 WHEN blank THEN 2 WHEN early THEN 3 ELSE 0 END AS reason FROM raw)
+SELECT table_name, count(*) AS raw_rows, count(DISTINCT key) FILTER (reason = 0) AS clean_rows,
+       count(*) FILTER (reason = 1) AS dropped_null, count(*) FILTER (reason = 2) AS dropped_empty,
+       count(*) FILTER (reason = 3) AS dropped_floor,
+       count(*) FILTER (reason = 0) - count(DISTINCT key) FILTER (reason = 0) AS dropped_duplicate
+FROM told GROUP BY table_name""")
+def q_clean_report_all(spark, d):
+    """The report over every raw table that the driver tables can fill; no driver
+    table plays the part of procedures."""
+    raw = ((raw_conditions, C.CODE_EVENTS), (raw_encounters, C.ENCOUNTERS), (raw_observations, C.OBSERVATIONS),
+           (raw_patients, C.SUBJECTS))
+    report = C.reject_counts(raw_medications(spark, d), C.ITEM_EVENTS)
+    for rows, spec in raw:
+        report = report.unionByName(C.reject_counts(rows(spark, d), spec))
+    return report
+
+
 @query("load_to_schema", ops=("S4", "S6", "P12"), sql="""
 SELECT CAST(o_orderkey AS VARCHAR) AS encounter_id, greatest(CAST(o_orderdate AS DATE), DATE '1925-01-01') AS start_date,
        CAST(o_custkey AS VARCHAR) AS patient_id FROM orders""")

@@ -210,3 +210,17 @@ def test_write_store_keeps_other_subjects(spark, tmp_path):
     assert got.count() == 399
     assert [tuple(r)[:2] for r in ST.read_for_subject(got, 7).select("item_id", "rank").collect()] == [("new", 1)]
     assert got.select("subject_bucket").distinct().count() == 4
+
+
+def test_whole_reports(spark):
+    from quillon.plans.registry import queries
+    sf = "/root/testdata/sf0.001"
+    assert {r.table_name for r in queries()["clean_report_all"](spark, sf).collect()} == {
+        "conditions", "encounters", "medications", "observations", "patients"}
+    stats = queries()["code_vector_stats"](spark, sf).collect()
+    assert {r.vector for r in stats} == {"code", "item"}
+    assert all(0 < r.nz_mean <= r.nz_max <= 50 and r.mean > 0 for r in stats if r.vector == "item")
+    runs = {r.run_id: r for r in queries()["model_runs"](spark, sf).collect()}
+    als = runs["als-1"]
+    assert set(runs) == {"als-1", "pop-k7", "pop-k10"} and als.metric == "rmse" and als.value > 0
+    assert als.cmp_rmse == als.value and abs(als.score - 1 / (1 + als.value)) < 1e-12
