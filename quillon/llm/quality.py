@@ -4,7 +4,7 @@ a text as content or boilerplate; the share of content characters decides.
 The field has two states, a weight vector per state over ``FEATURES`` line
 features, and a transition matrix.  It is trained here by gradient ascent on
 the log-likelihood (forward-backward) of a bounded sample of labelled
-documents: lines of good documents are content, lines of bad ones
+documents, of each its first ``TRAIN_LINES`` lines with a word: lines of good documents are content, lines of bad ones
 boilerplate.  Decoding is Viterbi over all lines with a word, whole texts.
 
 Defined cases: null or empty text has no words, fails the base rules and is
@@ -25,7 +25,8 @@ _WORD = re.compile("[^ \t-\r]+")
 _MARKED = re.compile(r"[#*$%&|<>!~^_=+{}\[\]\\@]")
 SYMBOLS = "#*$%&|<>"
 FEATURES = 10
-#: Labelled documents and characters of each that training reads at most.
+#: Labelled documents that training reads at most, the length up to which it
+#: takes a text, and the lines with a word that it reads from a text's start.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 800, 20_000, 40
 
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -93,7 +94,7 @@ def viterbi(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, docs_limit: int = TRAIN_DOCS, steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> dict:
     """Fit on the texts of at most ``docs_limit`` labelled documents, half of
-    each class, picked by a hash of their id.  Returns weights (2 x FEATURES;
+    each class, picked by a hash of their id, one text of each (the smallest).  Returns weights (2 x FEATURES;
     state 1 is boilerplate) and transitions, a few dozen numbers."""
     untrained = {"weights": [[0.0] * FEATURES] * 2, "trans": [[0.0, 0.0], [0.0, 0.0]]}
     pick = None
@@ -103,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, docs_limit: int = TRAIN_DOCS, step
         pick = part if pick is None else pick.union(part)
     # At most docs_limit rows are broadcast.
     rows = (docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
-            .filter(F.length("text") <= TRAIN_CHARS).orderBy("doc_id", "text").select("text", "quality").collect())
+            .filter(F.length("text") <= TRAIN_CHARS).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+            .orderBy("doc_id", "text").select("text", "quality").collect())
     seqs = []
     for text, quality in rows:
         lines, repeats, _ = _lines(text)

@@ -131,6 +131,16 @@ def test_viterbi_is_the_best_path():
         assert quality.viterbi(s, t).tolist() == best
 
 
+def test_training_takes_one_row_of_a_labelled_id(spark):
+    good, bad = "A calm line of plain words.\nAnother such line follows it.", "BUY | NOW !!\n$$ 50% OFF | CLICK !!"
+    once = [(k, (good if k % 2 else bad) + f"\nline {k}") for k in range(12)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    schema = "doc_id long, text string"
+    want = quality.train(spark.createDataFrame(once, schema), labels)
+    assert quality.train(spark.createDataFrame(once + [once[3]] * 500, schema), labels) == want
+    assert any(v for w in want["weights"] for v in w)
+
+
 def test_trained_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
