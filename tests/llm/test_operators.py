@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillon.llm import (licenses, linededup, mixing, ngramjoin, packing, permutation, quality, records, secrets,
                          substrings)
 from quillon.llm.components import components
@@ -265,6 +266,64 @@ def test_line_dedup_finds_unspaced_lines(spark):
     assert not [i for i in removed if i % 2 == 0] and len(removed) >= 0.97 * pairs
 
 
+def line_classes_of(lines):
+    """Root of each distinct line, by the exact Jaccard of all its shingles."""
+    lines = sorted(lines)
+    sets = [{x[k:k + 10] for k in range(len(x) - 9)} for x in lines]
+    return dict(zip(lines, components_of(sets, 80)))
+
+
+def deduplicated_by_hand(rows):
+    """The text of each row (doc_id, text) without lines of a class met before."""
+    root = line_classes_of({x for _, t in rows for x in (t or "").split("\n") if WORD.search(x)})
+    met, out = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        kept = []
+        for x in (t or "").split("\n"):
+            if not WORD.search(x) or root[x] not in met:
+                kept.append(x)
+            if WORD.search(x):
+                met.add(root[x])
+        out[i, t] = None if t is None else "\n".join(kept)
+    return out
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    line = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n))
+    body = [[line(20) for _ in range(4)] for _ in range(6)]
+    chinese = "".join(map(chr, rng.integers(0x4E00, 0x5200, 200)))
+    edited = body[0][1].replace(body[0][1][:6], "zzzzzz", 1)
+    rows = [(1, "\n".join(body[0])), (2, "\n".join([body[1][0], edited, "", *body[1][1:]])),
+            (3, "\n".join(body[2] + [chinese])), (3, "\n".join(body[2] + [chinese])),
+            (4, "\n".join(body[3] + ["0" + chinese[1:]])), (None, "\n".join(body[4] + [body[4][0]])),
+            (5, "too short"), (6, None), (7, ""), (8, " ".join(body[5]))]
+    # Its words are those of row 8 in other lines: a near copy, but not by line.
+    words = " ".join(body[5]).split()
+    rows.append((9, "\n".join(" ".join(words[k:k + 16]) for k in range(0, 80, 16))))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], schema).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    stage = dict(corpus_pipeline.STAGES)
+    got = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    good = stage["quality"](spark, docs, str(tmp_path))
+    kept = [(i, t) for i, t in rows if len(WORD.findall(t or "")) >= 50]
+    assert got(good) == Counter(kept)
+    lines = stage["line_dedup"](spark, docs, str(tmp_path))
+    by_hand = deduplicated_by_hand(rows)
+    assert got(lines) == Counter((i, by_hand[i, t]) for i, t in rows)
+    by_hand = deduplicated_by_hand(kept)
+    assert by_hand[kept[1]] == "\n".join([body[1][0], "", *body[1][1:]]) and chinese[1:] not in by_hand[kept[4]]
+
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    copies = Counter(r.doc_id for r in pieces if r.start == 0)
+    assert set(copies) == {1, 2, 3, 4, None, 8} and set(copies.values()) <= {1, 2}
+    enc, texts = Encoder(vocabulary_path("word_bpe_49k.json")), {i: by_hand[i, t] for i, t in kept}
+    assert sum(r.length for r in pieces) == sum(n * (len(enc.encode(texts[i])) // 4 + 1) for i, n in copies.items())
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40) if k != 20] + [(7, 7), (None, 3)], "a long, b long")
     got = {r.id: r.root for r in components(e).collect()}
