@@ -6,9 +6,10 @@
     others by hash.  Two sets with Jaccard of at least t share a shingle in
     their prefixes of ``n - ceil(t n) + 1``; shingles that occur once fill
     prefix places but never need posting.
-3.  Items with identical prefixes and size form a group; groups that share a
-    prefix shingle are filtered by size and by the largest overlap that their
-    prefixes allow, then expanded to members, whose full sets decide.
+3.  Items with identical prefixes and size form a group, whose first member
+    stands for it among the leaders; pairs with a leader are filtered by size and
+    by the largest overlap that their prefixes allow.  The other pairs are made
+    item by item, not by group.  Full sets decide.
 
 Pairs are tried in two
 rounds: each item with its group's first and with up to ``LEADERS`` leaders of
