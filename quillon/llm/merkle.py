@@ -121,7 +121,7 @@ def _tree(nodes: DataFrame, height: int, stride: int, base: int, top: int) -> tu
     return blocks, tops
 
 
-def build(docs: DataFrame, stride: int = STRIDE) -> dict:
+def build(docs: DataFrame, stride: int = STRIDE, span: int = SPAN) -> dict:
     """Placed leaves, trees with their subroots, stored node rows, the root."""
     placed = positions(leaves(docs), [F.col("lang").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "leaf"], "leaves")
     sizes = placed.groupBy("lang").agg(F.min("at").alias("tree"), F.count(F.lit(1)).alias("size"))
@@ -142,11 +142,11 @@ def build(docs: DataFrame, stride: int = STRIDE) -> dict:
                            _height(F.lit(n_langs)).alias("height"))
     above, crown = _tree(last, max(0, n_langs - 1).bit_length(), stride, ROOT, END)
     root = (crown[-1] if crown else last).select("hash").first()
-    return {"leaves": placed, "subroots": subroots, "links": links(blocks + above), "root": root[0] if root else None,
-            "end": END if n_langs > 1 else ROOT}
+    return {"leaves": placed, "subroots": subroots, "links": links(blocks + above, span), "span": span,
+            "root": root[0] if root else None, "end": END if n_langs > 1 else ROOT}
 
 
-def links(blocks: list[DataFrame], span: int = SPAN) -> DataFrame | None:
+def links(blocks: list[DataFrame], span: int) -> DataFrame | None:
     """Stored node rows: lo, level, range -> up_lo, up_level, place, siblings."""
     rows = None
     for b in blocks:
@@ -194,15 +194,15 @@ def climb(manifest: dict) -> DataFrame:
     spark = manifest["leaves"].sparkSession
     none = spark.createDataFrame([], "lo long, level int, span long, up_lo long, up_level int, place int, siblings array<binary>")
     with _recursion_rows(spark):
-        risen = spark.sql(CLIMB, span=SPAN, root_level=ROOT, end=manifest["end"], leaves=manifest["leaves"],
+        risen = spark.sql(CLIMB, span=manifest["span"], root_level=ROOT, end=manifest["end"], leaves=manifest["leaves"],
                           links=manifest["links"] if manifest["links"] is not None else none)
         return written(risen, "climb")
 
 
-def verified_manifest(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
+def verified_manifest(docs: DataFrame, stride: int = STRIDE, span: int = SPAN) -> DataFrame:
     """One row per document: doc_id, leaf, subroot, root, proof_sha256,
     folded_root, verified and tampered (whether the row was)."""
-    manifest = build(docs, stride)
+    manifest = build(docs, stride, span)
     root = F.lit(manifest["root"])
     subroots = maybe_broadcast(manifest["subroots"].select("tree", "subroot"))
     return (climb(manifest).join(subroots, "tree")
