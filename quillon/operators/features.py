@@ -1,10 +1,9 @@
 """Feature store: one row per subject.
 
-Every group is an aggregate keyed on ``subject_id``; joining the groups to
-the subject spine therefore reuses one hash partitioning (the aggregates are
-already partitioned on the join key, so only the spine is exchanged).
-Per-subject arrays are built from at most N vocabulary positions, so no
-unbounded per-subject list is ever collected.
+All groups read one frame of (subject, item or code) pairs, made by one scan
+of the events; joins to the spine reuse the hash partitioning on
+``subject_id``.  Per-subject arrays are built from at most N vocabulary
+positions, so no unbounded per-subject list is ever collected.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from quillon.functions import encode as E
 from quillon.functions import vectors as V
 from quillon.operators import vocab as voc
 
+# Version stamp and smoothing of the feature rows.
 FEATURE_VERSION = "v1.0"
 EPSILON = 1e-4
 
@@ -48,54 +48,39 @@ def _flag(codes) -> F.Column:
     return F.coalesce(F.bool_or(F.col("code").isin(list(codes))), F.lit(False)).cast("tinyint")
 
 
-def code_vocabulary(code_events: DataFrame, n: int) -> DataFrame:
-    return voc.top_n_vocabulary(voc.document_frequency(code_events, key="code"), n, key="code")
-
-
-def condition_features(code_events: DataFrame, spine: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """num_codes, flags, code_vector (multi-hot over the top-N codes)."""
-    agg = code_events.groupBy("subject_id").agg(
-        F.count_distinct("code").cast("int").alias("num_codes"),
-        *[_flag(codes).alias(name) for name, codes, _ in spec.flag_groups])
-    vocab = code_vocabulary(code_events, spec.top_n_codes)
-    n = vocab.agg(F.count(F.lit(1)).cast("int")).scalar()
-    # (subject, pos) for held vocabulary codes; <= N entries per subject.
-    held = (code_events.select("subject_id", "code").distinct()
-            .join(F.broadcast(vocab.select("code", "pos")), "code")
-            .groupBy("subject_id").agg(F.collect_list("pos").alias("_pos")))
-    out = (spine.select("subject_id")
-           .join(agg, "subject_id", "left")
-           .join(held, "subject_id", "left")
-           .fillna(0, subset=["num_codes"] + [g[0] for g in spec.flag_groups])
-           .withColumn("_n", n)  # scalar subquery projected once, outside the lambda
-           .withColumn("code_vector", V.dense_from_positions("_pos", F.col("_n")))  # T1 + T2
-           .drop("_pos", "_n"))
-    return out
-
-
-def item_features(item_events: DataFrame, spine: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """num_items (all items, A1) and item_vector (TF-IDF, smoothed, L2, T3-T5)."""
-    num_items = item_events.groupBy("subject_id").agg(
-        F.count_distinct("item_id").cast("int").alias("num_items"))
-    vocab_idf, w = voc.vocabulary_tfidf(item_events, spine, spec.top_n_items)
-    n = vocab_idf.agg(F.count(F.lit(1)).cast("int")).scalar()
-    entries = (w.groupBy("subject_id")
-               .agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"),
-                                            F.col("tfidf").cast("double").alias("val"))).alias("_e")))
-    return (spine.select("subject_id")
-            .join(num_items, "subject_id", "left")
-            .join(entries, "subject_id", "left")
-            .fillna(0, subset=["num_items"])
-            .withColumn("_n", n)
-            .withColumn("item_vector_d", V.smooth_l2_normalize(V.dense_from_entries("_e", F.col("_n")), EPSILON))
-            .withColumn("item_vector", V.to_float_array("item_vector_d"))
-            .drop("_e", "_n"))
+def event_pairs(events: DataFrame) -> DataFrame:
+    """One row per (subject, item or code): ``raw_count`` distinct dates (A4) and
+    the last one (A9).
+
+    ``events`` holds subject_id, item_id or code (the other null) and
+    start_date, so that all groups of a feature row share one scan.  Both
+    aggregates combine map-side; a hot subject is spread over its keys."""
+    key = ["subject_id", "item_id", "code"]
+    return (events.select(*key, "start_date").distinct().groupBy(*key)
+            .agg(F.count(F.lit(1)).alias("raw_count"), F.max("start_date").alias("last_date")))
+
+
+def as_events(item_events: DataFrame, code_events: DataFrame) -> DataFrame:
+    """The two event frames as one tagged frame (for separate sources)."""
+    return (item_events.select("subject_id", "item_id", F.lit(None).cast("string").alias("code"), "start_date")
+            .unionByName(code_events.select("subject_id", F.lit(None).cast("long").alias("item_id"), "code", "start_date")))
+
+
+def _vocabulary(pairs: DataFrame, key: str, n: int) -> DataFrame:
+    """W1 from pairs: a pair row is one subject that holds the key (A5)."""
+    held = pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("subject_count"))
+    return voc.top_n_vocabulary(held, n, key=key)
 
 
-def encounter_features(encounters: DataFrame, spine: DataFrame) -> DataFrame:
-    """Visits per subject, 0 when none."""
-    cnt = encounters.groupBy("subject_id").agg(F.count("encounter_id").cast("int").alias("num_encounters"))
-    return spine.select("subject_id").join(cnt, "subject_id", "left").fillna(0, subset=["num_encounters"])
+def _counts(spec: FeatureSpec) -> list:
+    """A1, A2: distinct codes and items, and the flags (pairs are distinct)."""
+    return [F.count("code").cast("int").alias("num_codes"), F.count("item_id").cast("int").alias("num_items"),
+            *[_flag(codes).alias(name) for name, codes, _ in spec.flag_groups]]
+
+
+def encounter_counts(encounters: DataFrame) -> DataFrame:
+    """Visits per subject."""
+    return encounters.groupBy("subject_id").agg(F.count("encounter_id").cast("int").alias("num_encounters"))
 
 
 SCALAR_COLS_BASE = ("age", "binary_code", "category_code", "num_codes", "num_items", "num_encounters")
@@ -105,34 +90,42 @@ def scalar_columns(spec: FeatureSpec) -> list[str]:
     return list(SCALAR_COLS_BASE) + [g[0] for g in spec.flag_groups]
 
 
-def feature_rows(demo_input: DataFrame, spine: DataFrame, code_events: DataFrame,
-                 item_events: DataFrame, encounters: DataFrame, spec: FeatureSpec,
+def feature_rows(demo_input: DataFrame, spine: DataFrame, pairs: DataFrame, encounters: DataFrame, spec: FeatureSpec,
                  keep_double_vector: bool = False) -> DataFrame:
-    """The full feature row per subject (stamp columns P24 included)."""
-    demo = demographics(demo_input, spec)
-    cond = condition_features(code_events, spine, spec)
-    items = item_features(item_events, spine, spec)
-    enc = encounter_features(encounters, spine)
+    """The full feature row per subject (stamp columns P24 included).
+
+    ``pairs`` is a stored ``event_pairs`` frame: both vocabularies and one
+    conditional aggregate per subject read it.  Vector entries are collected
+    for vocabulary keys only, so a list has at most N entries."""
+    items = _vocabulary(pairs, "item_id", spec.top_n_items)
+    codes = _vocabulary(pairs, "code", spec.top_n_codes)
+    total = spine.agg(F.count(F.lit(1))).scalar()
+    idf = voc.smoothed_idf(items, total).select("item_id", F.col("pos").alias("_ipos"), "idf")
+    entry = F.when(F.col("_ipos").isNotNull(), F.struct(
+        F.col("_ipos").cast("int").alias("pos"), (F.log1p(F.col("raw_count").cast("double")) * F.col("idf")).cast("double").alias("val")))
+    per = (pairs.join(F.broadcast(idf), "item_id", "left").join(F.broadcast(codes.select("code", F.col("pos").alias("_cpos"))), "code", "left")
+           .groupBy("subject_id").agg(*_counts(spec), F.collect_list("_cpos").alias("_codes"), F.collect_list(entry).alias("_items")))
+    n_items, n_codes = (v.agg(F.count(F.lit(1)).cast("int")).scalar() for v in (items, codes))
     cols = (["subject_id"] + scalar_columns(spec) + ["code_vector", "item_vector"]
-            + (["item_vector_d"] if keep_double_vector else []))
-    return (demo.join(cond, "subject_id", "left")
-            .join(items, "subject_id", "left")
-            .join(enc, "subject_id", "left")
+            + (["item_vector_d", "item_nonzero"] if keep_double_vector else []))
+    return (_joined(demo_input, per, encounters, spec)
+            .withColumn("_ni", n_items).withColumn("_nc", n_codes)  # scalar subqueries projected once, outside the lambdas
+            .withColumn("code_vector", V.dense_from_positions("_codes", F.col("_nc")))  # T1 + T2
+            .withColumn("item_vector_d", V.smooth_l2_normalize(V.dense_from_entries("_items", F.col("_ni")), EPSILON))
+            .withColumn("item_vector", V.to_float_array("item_vector_d"))
+            .withColumn("item_nonzero", F.coalesce(F.size(F.filter("_items", lambda x: x["val"] != 0)), F.lit(0)))  # before smoothing
             .select(*cols)
             .withColumn("feature_version", F.lit(FEATURE_VERSION))
             .withColumn("created_at", F.current_timestamp()))
 
 
-def scalar_feature_rows(demo_input: DataFrame, spine: DataFrame, code_events: DataFrame,
-                        item_events: DataFrame, encounters: DataFrame, spec: FeatureSpec) -> DataFrame:
+def _joined(demo_input: DataFrame, per_subject: DataFrame, encounters: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Demographics with the aggregates, 0 where a subject has none."""
+    return (demographics(demo_input, spec).join(per_subject, "subject_id", "left").join(encounter_counts(encounters), "subject_id", "left")
+            .fillna(0, subset=["num_codes", "num_items", "num_encounters"] + [g[0] for g in spec.flag_groups]))
+
+
+def scalar_feature_rows(demo_input: DataFrame, pairs: DataFrame, encounters: DataFrame, spec: FeatureSpec) -> DataFrame:
     """The feature row without the vectors (no vocabulary work is planned)."""
-    demo = demographics(demo_input, spec)
-    cond = code_events.groupBy("subject_id").agg(
-        F.count_distinct("code").cast("int").alias("num_codes"),
-        *[_flag(codes).alias(name) for name, codes, _ in spec.flag_groups])
-    items = item_events.groupBy("subject_id").agg(F.count_distinct("item_id").cast("int").alias("num_items"))
-    enc = encounters.groupBy("subject_id").agg(F.count("encounter_id").cast("int").alias("num_encounters"))
-    return (demo.join(cond, "subject_id", "left").join(items, "subject_id", "left")
-            .join(enc, "subject_id", "left")
-            .fillna(0, subset=["num_codes", "num_items", "num_encounters"] + [g[0] for g in spec.flag_groups])
-            .select("subject_id", *scalar_columns(spec)))
+    per = pairs.groupBy("subject_id").agg(*_counts(spec))
+    return _joined(demo_input, per, encounters, spec).select("subject_id", *scalar_columns(spec))

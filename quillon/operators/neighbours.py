@@ -116,14 +116,20 @@ def score_candidates(neigh: DataFrame, hist_recency: DataFrame, known: DataFrame
          .groupBy("subject_id", "item_id")
          .agg(F.sum(F.pow(F.col("sim"), F.lit(p.conf_exp))
                     * F.pow(F.lit(1.0 - p.recency_decay), F.col("recency"))).alias("_w")))
-    # J11 lookups: subject -> cohort key, (key, item) -> idf, item -> global idf.
-    c = (c.join(keys, "subject_id", "left")
+    return (with_idf(c, keys, idf, sizes, gidf)
+            .select("subject_id", "item_id", (F.col("_w") * F.col("idf_value") * F.lit(bm25)).alias("raw")))
+
+
+def with_idf(pairs: DataFrame, keys: DataFrame, idf: DataFrame, sizes: DataFrame, gidf: DataFrame) -> DataFrame:
+    """J11 lookups: subject -> cohort key, (key, item) -> idf, item -> global idf,
+    as column ``idf_value`` of (subject, item, ...) rows."""
+    c = (pairs.join(keys, "subject_id", "left")
          .join(sizes.select("ckey", F.lit(True).alias("_has_cohort")), "ckey", "left")
          .join(idf, ["ckey", "item_id"], "left")
          .join(gidf, "item_id", "left"))
-    idf_val = (F.when(F.col("_has_cohort"), F.coalesce(F.col("idf"), F.lit(DEFAULT_IDF)))
-                .otherwise(F.coalesce(F.col("gidf"), F.lit(DEFAULT_IDF))))
-    return c.select("subject_id", "item_id", (F.col("_w") * idf_val * F.lit(bm25)).alias("raw"))
+    value = (F.when(F.col("_has_cohort"), F.coalesce(F.col("idf"), F.lit(DEFAULT_IDF)))
+             .otherwise(F.coalesce(F.col("gidf"), F.lit(DEFAULT_IDF))))
+    return c.select(*pairs.columns, value.alias("idf_value"))
 
 
 def sigmoid(x, gain: float) -> F.Column:
@@ -131,20 +137,22 @@ def sigmoid(x, gain: float) -> F.Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-gain) * (x - F.lit(0.5))))
 
 
-def calibrate(raw: DataFrame, pop: DataFrame, p: NeighbourParams) -> DataFrame:
+def calibrate(raw: DataFrame, pop: DataFrame, p: NeighbourParams, by: tuple = ("subject_id",)) -> DataFrame:
     """N7 L1 -> N8 min-max (all equal -> 0.5) -> N9 sigmoid -> N10 blend with popularity.
 
     One aggregate serves both normalisations: the L1 total is positive or
-    leaves the scores as they are, so it moves no minimum or maximum.
+    leaves the scores as they are, so it moves no minimum or maximum.  ``by``
+    names what is normalised together (a subject, or a trial and a subject).
     """
-    stats = raw.groupBy("subject_id").agg(F.sum("raw").alias("_tot"), F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
+    by = list(by)
+    stats = raw.groupBy(*by).agg(F.sum("raw").alias("_tot"), F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
     per = F.when(F.col("_tot") > 0, F.col("_tot")).otherwise(F.lit(1.0))
     l1, lo, hi = F.col("raw") / per, F.col("_lo") / per, F.col("_hi") / per
     mm = F.when(hi == lo, F.lit(0.5)).otherwise((l1 - lo) / (hi - lo))
     cal = sigmoid(mm, p.sigmoid_gain) if p.sigmoid_sharpen else mm
     a = p.baseline_blend
-    return (raw.join(stats, "subject_id").join(pop.select("item_id", "pop"), "item_id", "left")
-            .select("subject_id", "item_id",
+    return (raw.join(stats, by).join(pop.select("item_id", "pop"), "item_id", "left")
+            .select(*by, "item_id",
                     ((1.0 - a) * cal + a * F.coalesce(F.col("pop"), F.lit(0.0))).alias("score")))
 
 
@@ -169,17 +177,29 @@ def recommend(subjects: DataFrame, edges: DataFrame, history: DataFrame, known:
     """
     fit = fit_history if fit_history is not None else history
     pop = cut_lineage(item_popularity(fit, keys))
-    if pop_rank is None:
-        pop_rank = R.global_rank(pop, [F.col("freq").desc(), F.col("item_id").asc()])
+    raw = raw_scores(subjects, edges, history, known, keys, p, fit)
+    return ranked_lists(calibrate(raw, pop, p), pop, subjects, known, p, pop_rank)
+
+
+def raw_scores(subjects: DataFrame, edges: DataFrame, history: DataFrame, known: DataFrame, keys: DataFrame,
+               p: NeighbourParams, fit: DataFrame) -> DataFrame:
+    """Raw scores of the subjects with enough known items, computed once (the
+    calibration reads them twice)."""
     hist_r = R.recency_rank(history.join(keys.select("subject_id"), "subject_id", "left_semi"))
     idf, sizes, gidf = cohort_idf(keys, fit)
     n_known = known.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_known"))
     warm = (subjects.select("subject_id").join(n_known, "subject_id", "left")
             .filter(F.coalesce(F.col("n_known"), F.lit(0)) >= p.min_known).select("subject_id"))
     neigh = select_neighbours(edges.join(warm.withColumnRenamed("subject_id", "src"), "src", "left_semi"), p)
-    # Read twice by the calibration, so computed once.
-    raw = cut_lineage(score_candidates(neigh, hist_r, known, keys, idf, sizes, gidf, p))
-    best = cut_lineage(R.top_k(calibrate(raw, pop, p), p.top_k).select("subject_id", "item_id", "score"))
+    return cut_lineage(score_candidates(neigh, hist_r, known, keys, idf, sizes, gidf, p))
+
+
+def ranked_lists(scored: DataFrame, pop: DataFrame, subjects: DataFrame, known: DataFrame, p: NeighbourParams,
+                 pop_rank: DataFrame | None = None) -> DataFrame:
+    """The best ``p.top_k`` of calibrated scores and popularity per subject."""
+    if pop_rank is None:
+        pop_rank = R.global_rank(pop, [F.col("freq").desc(), F.col("item_id").asc()])
+    best = cut_lineage(R.top_k(scored, p.top_k).select("subject_id", "item_id", "score"))
     # The best unseen items by popularity complete the list.  A calibrated score
     # is at least blend * pop, so the k best scored and the k most popular
     # unseen items hold the k best of all, an item in both with its larger score.

@@ -52,13 +52,13 @@ def leave_last_n_out(history: DataFrame, n: int, subject: str = "subject_id",
 
 def hash_sample(subjects: DataFrame, fraction: float, seed: int = 42,
                 subject: str = "subject_id") -> DataFrame:
-    """D3: keep the first int(n * fraction) subjects in xxhash64(subject, seed) order.
+    """D3: keep the first int(n * fraction) subjects in the order of md5("seed:subject").
 
     Stable under repartitioning.  The cut is a scalar subquery; the order is
     a global sort (range partitioned), not a single-task window.
     """
     n_keep = subjects.agg(F.floor(F.count(F.lit(1)) * F.lit(float(fraction))).cast("long")).scalar()
-    h = subjects.withColumn("_h", F.xxhash64(F.col(subject), F.lit(seed)))
+    h = subjects.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(subject))))
     ranked = global_rank(h, [F.col("_h").asc(), F.col(subject).asc()], "_rk")
     return ranked.filter(F.col("_rk") <= n_keep).drop("_h", "_rk")
 
@@ -113,23 +113,30 @@ def top_k_excluding(ranked_items: DataFrame, subjects: DataFrame, exclude: DataF
     Repeated exclusions count once; excluded items outside the list change
     nothing; a list that runs out gives fewer than k rows.
     """
-    held = (exclude.select(subject, item).distinct().join(ranked_items.select(item, F.col(rank_col).alias("_r")), item)
-            .select(subject, "_r", F.floor(F.col("_r") / RANK_BUCKET).alias("_b")))
-    w = Window.partitionBy(subject).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = (held.groupBy(subject, "_b").agg(F.count(F.lit(1)).alias("_n"))
-              .select(subject, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(subject, "_b").orderBy("_r"))
-    free = held.join(before, [subject, "_b"]).select(subject, (F.col("_r") - place).alias("_free"))
-    steps = (free.filter(F.col("_free") < k).groupBy(subject)
-             .agg(F.array(*[F.count_if(F.col("_free") < j) + j for j in range(1, k + 1)]).alias("_at")))
-    untouched = F.array(*[F.lit(j).cast("long") for j in range(1, k + 1)])
-    slots = (subjects.select(subject).join(steps, subject, "left")
-             .select(subject, F.explode(F.coalesce("_at", untouched)).alias(rank_col)))
+    held = exclude.select(subject, item).distinct().join(ranked_items.select(item, F.col(rank_col).alias("_r")), item).select(subject, "_r")
+    slots = free_places(held, subjects.select(subject), k, [subject], "_r").withColumnRenamed("_r", rank_col)
     # Every subject asks for a rank near 1..k; a list of checked size is
     # broadcast, so that those ranks are no hot join keys.
     return slots.join(bounded_broadcast(ranked_items), rank_col)
 
 
+def free_places(held: DataFrame, runs: DataFrame, k: int, by: list, place: str) -> DataFrame:
+    """Per run (``by`` columns), its first ``k`` places 1, 2, ... that ``held``
+    (``by`` and distinct places) does not name; other columns of ``runs`` stay.
+
+    The counting of ``top_k_excluding``."""
+    held = held.select(*by, F.col(place).alias("_r"), F.floor(F.col(place) / RANK_BUCKET).alias("_b"))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = (held.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+              .select(*by, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_r"))
+    free = held.join(before, [*by, "_b"]).select(*by, (F.col("_r") - nth).alias("_free"))
+    steps = (free.filter(F.col("_free") < k).groupBy(*by)
+             .agg(F.array(*[F.count_if(F.col("_free") < j) + j for j in range(1, k + 1)]).alias("_at")))
+    untouched = F.array(*[F.lit(j).cast("long") for j in range(1, k + 1)])
+    return runs.join(steps, by, "left").select(*runs.columns, F.explode(F.coalesce("_at", untouched)).alias(place))
+
+
 def prefix_sums(df: DataFrame, order, cols, checkpoint: bool = True) -> DataFrame:
     """Inclusive running sums of ``cols`` along a total order, as ``cum_<col>``.
 

@@ -18,7 +18,7 @@ broadcast of tables that grow with the data).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +51,6 @@ class Frames:
     """Canonical frames for one data directory."""
     spark: SparkSession
     sf_dir: str
-    extra: dict = field(default_factory=dict)
 
     def t(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -107,6 +106,17 @@ class Frames:
                         F.to_date("o_orderdate").alias("start_date"))
                 .distinct())
 
+    def events(self) -> DataFrame:
+        """Item and code events of one scan: subject_id, item_id or code (the
+        other null), start_date; not deduplicated."""
+        pt = self.t("part").select("p_partkey", "p_brand")
+        item = F.struct(F.col("l_partkey").alias("item_id"), F.lit(None).cast("string").alias("code"), F.to_date("l_shipdate").alias("start_date"))
+        code = F.struct(F.lit(None).cast("long").alias("item_id"), F.col("p_brand").alias("code"), F.to_date("o_orderdate").alias("start_date"))
+        # An item without a part row has an item event and no code event.
+        return (self._lines().join(pt, F.col("l_partkey") == F.col("p_partkey"), "left")
+                .select(F.col("o_custkey").alias("subject_id"), F.inline(F.array(item, code)))
+                .filter(F.col("item_id").isNotNull() | F.col("code").isNotNull()))
+
     def item_names(self) -> DataFrame:
         return self.t("part").select(F.col("p_partkey").alias("item_id"),
                                      F.col("p_name").alias("description"))
@@ -146,12 +156,3 @@ code_events AS (
          CAST(o.o_orderdate AS DATE) AS start_date
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN part p ON l.l_partkey = p.p_partkey)"""
-
-SQL_SUBJECTS = """
-subjects AS (SELECT c_custkey AS subject_id, c_name AS name, c_mktsegment AS category,
-                    c_nationkey AS nation_key, c_acctbal AS balance FROM customer)"""
-
-SQL_ENCOUNTERS = """
-encounters AS (SELECT o_orderkey AS encounter_id, o_custkey AS subject_id,
-                      o_orderdate AS start_dt, o_orderpriority AS encounterclass,
-                      o_totalprice AS total_cost FROM orders)"""

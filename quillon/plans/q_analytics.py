@@ -11,8 +11,10 @@ from quillon.operators import neighbours as NB
 from quillon.operators import ranking as R
 from quillon.operators import store as ST
 from quillon.plans import binding as B
-from quillon.plans.q_features import FRAG_FEAT, SPEC, scalar_frame, with_sql
+from quillon.plans.q_features import (FRAG_CODE_HELD, FRAG_CODE_VOCAB, FRAG_FEAT, FRAG_VECTORS, FRAG_VOCAB, SPEC,
+                                      feature_frame, scalar_frame, with_sql)
 from quillon.plans.registry import query
+from quillon.session import stored
 from quillon.sources.tables import TABLES
 
 FLAGS = [g[0] for g in B.FLAG_GROUPS]
@@ -40,10 +42,11 @@ def q_distinct_interactions(spark, d):
 SELECT e.item_id, min(p.p_name) AS item_name, count(DISTINCT e.subject_id) AS subject_count
 FROM item_events e JOIN part p ON p.p_partkey = e.item_id GROUP BY e.item_id""")
 def q_item_catalogue(spark, d):
+    """Counted per item first; names join one row an item, not every event."""
     f = B.frames(spark, d)
-    return (f.item_events().join(f.item_names(), "item_id")
-            .groupBy("item_id").agg(F.min("description").alias("item_name"),
-                                    F.count_distinct("subject_id").alias("subject_count")))
+    counts = f.item_events().groupBy("item_id").agg(F.count_distinct("subject_id").alias("subject_count"))
+    names = f.item_names().groupBy("item_id").agg(F.min("description").alias("item_name"))
+    return counts.join(names, "item_id").select("item_id", "item_name", "subject_count")
 
 
 @query("item_prevalence", ops=("A11", "A5"), sql=with_sql() + f"""
@@ -180,29 +183,25 @@ def q_feature_correlation(spark, d):
                       ).select("x.a", "x.b", r6(F.col("x.r")).alias("r"))
 
 
-@query("code_vector_stats", ops=("A23",))
+@query("code_vector_stats", ops=("A23",), sql=with_sql(FRAG_VOCAB, FRAG_VECTORS, FRAG_CODE_VOCAB, FRAG_CODE_HELD) + f"""
+, cells AS (SELECT 'code' AS vector, c.c_custkey AS subject_id, v.pos, CASE WHEN h.subject_id IS NULL THEN 0.0 ELSE 1.0 END AS x,
+              h.subject_id IS NOT NULL AS nz
+            FROM customer c CROSS JOIN cvocab v LEFT JOIN held h ON h.subject_id = c.c_custkey AND h.code = v.code
+            UNION ALL
+            SELECT 'item', sm.subject_id, sm.pos, sm.x / nrm.nrm, sm.x <> 1e-4 FROM sm JOIN nrm ON sm.subject_id = nrm.subject_id),
+per AS (SELECT vector, subject_id, count_if(nz) AS nz FROM cells GROUP BY 1, 2)
+SELECT vector, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean, round((SELECT avg(nz) FROM per p WHERE p.vector = c.vector), 6) AS nz_mean,
+       CAST((SELECT max(nz) FROM per p WHERE p.vector = c.vector) AS INTEGER) AS nz_max FROM cells c GROUP BY vector, pos""")
 def q_code_vector_stats(spark, d):
-    """Per-dimension mean of the code and the item vector (posexplode + avg) and
-    the nonzero count per row summarised (mean, max); for the item vector, whose
-    smoothed form has no zeros, entries before smoothing are counted.  Rows-only
-    (covered position by position by code_vector_long and item_vector_long)."""
-    from quillon.operators import features as FT
-    from quillon.operators import vocab as voc
-    f = B.frames(spark, d)
-    c = FT.condition_features(f.code_events(), f.subjects(), SPEC)
-    items = FT.item_features(f.item_events(), f.subjects(), SPEC)
-    _, held = voc.vocabulary_tfidf(f.item_events(), f.subjects(), SPEC.top_n_items)
-    held = held.filter("tfidf <> 0").groupBy("subject_id").agg(F.count(F.lit(1)).cast("int").alias("nz"))
-    item_nz = f.subjects().select("subject_id").join(held, "subject_id", "left").select(F.coalesce("nz", F.lit(0)).alias("nz"))
-
-    def stats(vector, values, nz):
-        dims = values.toDF("v").select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("mean"))
-        s = nz.agg(F.avg("nz").alias("nz_mean"), F.max("nz").alias("nz_max"))
-        return dims.select(F.lit(vector).alias("vector"), "pos", "mean", s.select("nz_mean").scalar().alias("nz_mean"),
-                           s.select("nz_max").scalar().alias("nz_max"))
-
-    nz = c.select(F.aggregate("code_vector", F.lit(0), lambda acc, x: acc + F.when(x != 0, 1).otherwise(0)).alias("nz"))
-    return stats("code", c.select("code_vector"), nz).unionByName(stats("item", items.select("item_vector_d"), item_nz))
+    """Per-dimension mean of the code and the item vector, and the nonzero count
+    per row (before smoothing) summarised, from one stored feature frame."""
+    f = stored(feature_frame(spark, d, keep_double_vector=True), "features")
+    part = lambda name, col, nz: F.struct(F.lit(name).alias("vector"), F.col(col).cast("array<double>").alias("v"), nz.alias("nz"))
+    rows = f.select(F.inline(F.array(part("code", "code_vector", F.size(F.filter("code_vector", lambda x: x != 0))),
+                                     part("item", "item_vector_d", F.col("item_nonzero")))))
+    dims = rows.select("vector", F.posexplode("v").alias("pos", "x")).groupBy("vector", "pos").agg(r6(F.avg("x")).alias("mean"))
+    nz = rows.groupBy("vector").agg(r6(F.avg("nz")).alias("nz_mean"), F.max("nz").alias("nz_max"))  # two rows
+    return dims.join(F.broadcast(nz), "vector").select("vector", "pos", "mean", "nz_mean", "nz_max")
 
 
 @query("calendar_age", ops=("P16",), sql=f"""

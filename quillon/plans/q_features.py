@@ -8,22 +8,27 @@ from quillon.operators import features as FT
 from quillon.operators import vocab as voc
 from quillon.plans import binding as B
 from quillon.plans.registry import query
+from quillon.session import stored
 
 SPEC = FT.FeatureSpec(
     as_of=B.AS_OF_DATE, binary_positive="Y", category_map=B.SEGMENT_CODES,
     category_other=B.SEGMENT_OTHER, flag_groups=B.FLAG_GROUPS)
 
 
+def event_pairs(spark, d):
+    """(subject, item or code) pairs of one scan, stored for their readers."""
+    return stored(FT.event_pairs(B.frames(spark, d).events()), "pairs")
+
+
 def scalar_frame(spark, d):
     f = B.frames(spark, d)
-    return FT.scalar_feature_rows(f.demographics_input(), f.subjects(), f.code_events(),
-                                  f.item_events(), f.encounters(), SPEC)
+    return FT.scalar_feature_rows(f.demographics_input(), FT.event_pairs(f.events()), f.encounters(), SPEC)
 
 
-def feature_frame(spark, d, keep_double_vector=False):
+def feature_frame(spark, d, keep_double_vector=False, pairs=None):
     f = B.frames(spark, d)
-    return FT.feature_rows(f.demographics_input(), f.subjects(), f.code_events(),
-                           f.item_events(), f.encounters(), SPEC, keep_double_vector)
+    pairs = event_pairs(spark, d) if pairs is None else pairs
+    return FT.feature_rows(f.demographics_input(), f.subjects(), pairs, f.encounters(), SPEC, keep_double_vector)
 
 
 # --- SQL building blocks (DuckDB) -------------------------------------------
@@ -84,8 +89,7 @@ def q_item_vocabulary(spark, d):
 @query("item_vector_long", ops=("T5", "T2", "A7", "J1"), sql=SQL_VECTORS + """
 SELECT sm.subject_id, sm.pos, round(sm.x / nrm.nrm, 6) AS weight FROM sm JOIN nrm ON sm.subject_id = nrm.subject_id""")
 def q_item_vector_long(spark, d):
-    f = B.frames(spark, d)
-    it = FT.item_features(f.item_events(), f.subjects(), SPEC)
+    it = feature_frame(spark, d, keep_double_vector=True)
     return it.select("subject_id", F.posexplode("item_vector_d").alias("pos", "w")).select(
         "subject_id", F.col("pos").cast("int").alias("pos"), F.round("w", 6).alias("weight"))
 
@@ -96,8 +100,7 @@ SELECT c.c_custkey AS subject_id, v.pos,
 FROM customer c CROSS JOIN cvocab v
 LEFT JOIN held h ON h.subject_id = c.c_custkey AND h.code = v.code""")
 def q_code_vector_long(spark, d):
-    f = B.frames(spark, d)
-    c = FT.condition_features(f.code_events(), f.subjects(), SPEC)
+    c = feature_frame(spark, d)
     return c.select("subject_id", F.posexplode("code_vector").alias("pos", "value")).select(
         "subject_id", F.col("pos").cast("int").alias("pos"), "value")
 
@@ -135,8 +138,19 @@ def q_feature_scalars(spark, d):
     return scalar_frame(spark, d)
 
 
-@query("feature_rows", ops=("J2", "S2", "P24", "T1", "T5"))
+@query("feature_rows", ops=("J2", "S2", "P24", "T1", "T5"), sql=with_sql(FRAG_VOCAB, FRAG_VECTORS, FRAG_CODE_VOCAB, FRAG_CODE_HELD, FRAG_FEAT) + f""",
+long AS (SELECT c.c_custkey AS subject_id, 'code' AS part, v.pos, CASE WHEN h.subject_id IS NULL THEN 0.0 ELSE 1.0 END AS value
+         FROM customer c CROSS JOIN cvocab v LEFT JOIN held h ON h.subject_id = c.c_custkey AND h.code = v.code
+         UNION ALL
+         SELECT sm.subject_id, 'item', sm.pos, sm.x / nrm.nrm FROM sm JOIN nrm ON sm.subject_id = nrm.subject_id)
+SELECT feat.*, '{FT.FEATURE_VERSION}' AS feature_version, true AS stamped, part, CAST(pos AS INTEGER) AS pos, round(CAST(value AS FLOAT), 5) AS value
+FROM feat JOIN long USING (subject_id)""")
 def q_feature_rows(spark, d):
-    """The whole feature row (arrays included); rows-only (arrays are checked
-    position by position in code_vector_long / item_vector_long)."""
-    return feature_frame(spark, d).drop("created_at")
+    """The whole feature row with its version and created stamp, one row per
+    subject and vector position (code vector, then item vector)."""
+    f = feature_frame(spark, d)
+    part = lambda name: F.transform(f"{name}_vector", lambda v, k: F.struct(F.lit(name).alias("part"), k.alias("pos"), v.alias("value")))
+    return (f.withColumn("stamped", F.col("created_at").isNotNull())
+            .select(*[c for c in f.columns if c not in ("created_at", "code_vector", "item_vector")], "stamped",
+                    F.inline(F.concat(part("code"), part("item"))))
+            .withColumn("value", F.round("value", 5)))

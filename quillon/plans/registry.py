@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None, ops: tuple = ()):
 def _load_all():
     # Importing the plan modules registers their queries.
     from quillon.plans import (q_features, q_clean, q_analytics, q_similarity,  # noqa: F401
-                               q_recommend, q_metrics, q_models)
+                               q_recommend, q_metrics, q_evaluation, q_models)
 
 
 def queries() -> dict:

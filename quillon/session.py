@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Cut the lineage with a Parquet table in the checkpoint folder.
+
+    Like ``cut_lineage`` it survives executor loss; readers prune columns and
+    AQE knows its size, so it suits wide frames that feed several branches.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded_broadcast(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """A broadcast hint only if the (materialised) frame has at most ``limit``
     rows; beyond it the join is left to the shuffle and AQE's skew handling."""
