@@ -13,15 +13,15 @@ key holding a third of all rows is reduced map-side.
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Timestamp formats of the raw files.
+# Formats of the raw files; timestamps are tried in this order.
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+TS_FORMATS = (TS_FORMAT, "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 DATE_FORMAT = "yyyy-MM-dd"
 
 
@@ -42,17 +42,15 @@ class TableSpec:
     key: tuple = ()               # dedup key (targets)
     floor: tuple | None = None    # (target column, 'yyyy-MM-dd'): keep rows strictly after
     keep_extra: bool = False      # keep source columns not in the spec (renamed ones replaced)
-    csv_columns: tuple = field(default=())
 
 
 def _parse(c: Col) -> F.Column:
     x = F.col(c.target)
     if c.kind == "date":
         return F.try_to_date(x, c.fmt or DATE_FORMAT)
-    if c.kind == "timestamp":
-        return F.try_to_timestamp(x, F.lit(c.fmt or TS_FORMAT))
-    if c.kind == "date_from_ts":
-        return F.to_date(F.try_to_timestamp(x, F.lit(c.fmt or TS_FORMAT)))
+    if c.kind in ("timestamp", "date_from_ts"):
+        ts = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in ((c.fmt,) if c.fmt else TS_FORMATS)])
+        return ts if c.kind == "timestamp" else F.to_date(ts)
     if c.kind == "double":
         return x.try_cast("double")
     if c.kind == "upper":
@@ -98,46 +96,25 @@ def dedup(df: DataFrame, key: list) -> DataFrame:
     return picked.select(*[F.col(k) for k in key], *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def reject_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """V3: raw, clean and dropped rows by reason, in one aggregate over the raw
-    rows plus one count of the deduplicated rows."""
-    p = project(df, spec)
-    null_req = F.lit(False)
+def reject_reason(df: DataFrame, spec: TableSpec) -> F.Column:
+    """V3: why ``clean`` drops a raw row before dedup: 'null', 'empty', 'floor'
+    (the first that applies), or null for a row that it keeps."""
+    source = {c.target: c.source for c in spec.columns if c.source in df.columns}
+    name = lambda c: F.col(source.get(c, c))
+    null_req, empty = F.lit(False), F.lit(False)
     for c in spec.required:
-        null_req = null_req | F.col(c).isNull()
-    empty = F.lit(False)
+        null_req = null_req | name(c).isNull()
     for c in spec.non_empty:
-        empty = empty | (F.col(c) == F.lit(""))
-    bad_floor = F.lit(False)
+        empty = empty | F.coalesce(name(c) == F.lit(""), F.lit(False))
+    reason = F.when(null_req, "null").when(empty, "empty")
     if spec.floor:
         col, floor = spec.floor
-        parsed = [_parse(c) for c in spec.columns if c.target == col][0]
-        bad_floor = ~F.coalesce(parsed > F.lit(floor).cast("date"), F.lit(False))
-    valid = ~null_req & ~F.coalesce(empty, F.lit(False)) & ~bad_floor
-    a = p.agg(F.count(F.lit(1)).alias("raw_rows"),
-              F.count_if(null_req).alias("dropped_null"),
-              F.count_if(~null_req & F.coalesce(empty, F.lit(False))).alias("dropped_empty"),
-              F.count_if(~null_req & ~F.coalesce(empty, F.lit(False)) & bad_floor).alias("dropped_floor"),
-              F.count_if(valid).alias("valid_rows"))
-    clean_rows = clean(df, spec).agg(F.count(F.lit(1))).scalar()
-    return (a.withColumn("clean_rows", clean_rows)
-             .withColumn("dropped_duplicate", F.col("valid_rows") - F.col("clean_rows"))
-             .select(F.lit(spec.name).alias("table_name"), "raw_rows", "clean_rows", "dropped_null",
-                     "dropped_empty", "dropped_floor", "dropped_duplicate"))
+        parsed = [_parse(Col(c.source, c.source, c.kind, c.fmt)) for c in spec.columns if c.target == col][0]
+        reason = reason.when(~F.coalesce(parsed > F.lit(floor).cast("date"), F.lit(False)), "floor")
+    return reason
 
 
-# -- sources / sinks ----------------------------------------------------------
-
-def string_schema(columns) -> T.StructType:
-    """Every column read as string."""
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-
-
-def read_raw_csv(spark: SparkSession, path: str, columns) -> DataFrame:
-    """CSV with header, explicit all-string schema (no inference)."""
-    return (spark.read.option("header", "true").option("mode", "PERMISSIVE")
-            .schema(string_schema(columns)).csv(path))
-
+# -- sink and load -------------------------------------------------------------
 
 def write_parquet(df: DataFrame, path: str, sort_by=None, partitions: int | None = None) -> None:
     """S3: overwrite + snappy; optional sort key (range partition + sort within
@@ -148,28 +125,6 @@ def write_parquet(df: DataFrame, path: str, sort_by=None, partitions: int | None
     out.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
-def validate_file(spark: SparkSession, path: str, required_columns) -> int:
-    """V1: raise on missing file, zero bytes, missing required column or header only; return rows."""
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    if os.path.isfile(path) and os.path.getsize(path) == 0:
-        raise ValueError(f"empty file: {path}")
-    hdr = spark.read.option("header", "true").csv(path)
-    missing = sorted(set(required_columns) - set(hdr.columns))
-    if missing:
-        raise ValueError(f"{path}: missing required columns {missing}")
-    if not hdr.limit(1).take(1):
-        raise ValueError(f"{path}: header only")
-    return hdr.count()
-
-
-def validate_all(spark: SparkSession, raw_dir: str, tables: dict) -> DataFrame:
-    """V2: validate every table (fail fast); accepts a ``csv/`` sub-folder."""
-    base = os.path.join(raw_dir, "csv") if os.path.isdir(os.path.join(raw_dir, "csv")) else raw_dir
-    rows = [(t, validate_file(spark, os.path.join(base, f"{t}.csv"), req)) for t, req in tables.items()]
-    return spark.createDataFrame(rows, "table_name string, rows long")
-
-
 def load_to_schema(df: DataFrame, target_schema: T.StructType) -> DataFrame:
     """Keep the target's columns that the source has, cast to the target types."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name)

@@ -10,6 +10,7 @@ from quillon.functions.text import explanation
 from quillon.operators import neighbours as NB
 from quillon.operators import ranking as R
 from quillon.operators import store as ST
+from quillon.operators.quantiles import exact_quantiles
 from quillon.plans import binding as B
 from quillon.plans.q_features import (FRAG_CODE_HELD, FRAG_CODE_VOCAB, FRAG_FEAT, FRAG_VECTORS, FRAG_VOCAB, SPEC,
                                       feature_frame, scalar_frame, with_sql)
@@ -147,17 +148,28 @@ def q_category_counts(spark, d):
             .select(E.category_label("category_code", labels, "OTHER").alias("category"), "n"))
 
 
+@query("binary_counts", ops=("A19", "P13", "P14"), sql="""
+SELECT CASE WHEN c_acctbal < 0 THEN 'negative' ELSE 'not negative' END AS label, count(*) AS n FROM customer GROUP BY 1""")
+def q_binary_counts(spark, d):
+    """Subjects by binary code, from the demographics alone."""
+    from quillon.operators.features import demographics
+    codes = demographics(B.frames(spark, d).demographics_input(), SPEC)
+    return (codes.groupBy("binary_code").agg(F.count(F.lit(1)).alias("n"))
+            .select(E.category_label("binary_code", {1: "negative", 0: "not negative"}).alias("label"), "n"))
+
+
 @query("balance_summary", ops=("A20",), sql="""
 SELECT count(c_acctbal) AS n, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std,
        min(c_acctbal) AS min, round(quantile_cont(c_acctbal, 0.25), 6) AS q25,
        round(quantile_cont(c_acctbal, 0.5), 6) AS q50, round(quantile_cont(c_acctbal, 0.75), 6) AS q75,
        max(c_acctbal) AS max FROM customer""")
 def q_balance_summary(spark, d):
+    """Quantiles by distributed selection; the other figures are one aggregate."""
     c = B.frames(spark, d).subjects()
+    quartiles = exact_quantiles(c, "balance", (0.25, 0.5, 0.75))
     return c.agg(F.count("balance").alias("n"), r6(F.avg("balance")).alias("mean"),
                  r6(F.stddev_samp("balance")).alias("std"), F.min("balance").alias("min"),
-                 r6(F.percentile("balance", 0.25)).alias("q25"), r6(F.percentile("balance", 0.5)).alias("q50"),
-                 r6(F.percentile("balance", 0.75)).alias("q75"), F.max("balance").alias("max"))
+                 *[r6(F.lit(q).cast("double")).alias(f"q{p}") for q, p in zip(quartiles, (25, 50, 75))], F.max("balance").alias("max"))
 
 
 @query("price_histogram", ops=("A21", "P23"), sql="""
