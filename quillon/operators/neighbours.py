@@ -12,11 +12,12 @@ ranking (``ranking.top_k_excluding``).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import model_store as MS
 from quillon.operators import ranking as R
 from quillon.session import cut_lineage
 
@@ -216,3 +217,14 @@ def ranked_lists(scored: DataFrame, pop: DataFrame, subjects: DataFrame, known:
     if p.score_threshold > 0.0:
         top = apply_score_threshold(top.filter("warm"), p.score_threshold).unionByName(top.filter("not warm"))
     return top.select("subject_id", "rank", "item_id", "score", source.alias("source"))
+
+
+def save_artefacts(spark, folder: str, version: str, edges: DataFrame, keys: DataFrame, history: DataFrame, p: NeighbourParams) -> None:
+    """The fitted model as tables and its parameters."""
+    MS.save(spark, folder, "neighbours", version, tables={"edges": edges, "cohort_keys": keys, "history": history}, params=asdict(p))
+
+
+def load_artefacts(spark, folder: str, version: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, NeighbourParams]:
+    """(edges, cohort keys, history, parameters) of a saved version, the newest by default."""
+    saved = MS.load(spark, folder, "neighbours", version)
+    return saved.tables["edges"], saved.tables["cohort_keys"], saved.tables["history"], NeighbourParams(**saved.params)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import encode as E
 from quillon.functions.text import explanation
 from quillon.operators import neighbours as NB
+from quillon.operators import profile as PR
 from quillon.operators import ranking as R
 from quillon.operators import store as ST
 from quillon.operators.quantiles import exact_quantiles
@@ -410,3 +411,20 @@ def q_store_replace(spark, d):
     twice = ST.replace_subjects(once, new)
     return twice.select("subject_id", F.col("rank").cast("int").alias("rank"), "item_id",
                         r6(F.col("score")).alias("score"), "model_version")
+
+
+@query("subject_profiles", ops=("A26", "J7", "S8"), sql=SQL_POP_RECS + """,
+owned AS (SELECT subject_id, item_id, max(start_date) AS last_date FROM item_events GROUP BY 1, 2),
+listed AS (SELECT subject_id, item_id, last_date, CAST(NULL AS DOUBLE) AS score,
+             row_number() OVER (PARTITION BY subject_id ORDER BY last_date DESC, item_id DESC) AS place FROM owned)
+SELECT subject_id, 'item' AS part, CAST(place AS INTEGER) AS place, item_id, p_name AS item_name, last_date, score
+FROM listed LEFT JOIN part ON p_partkey = item_id
+UNION ALL
+SELECT subject_id, 'recommendation', CAST(rank AS INTEGER), item_id, p_name, NULL, round(score, 6)
+FROM precs LEFT JOIN part ON p_partkey = item_id WHERE rank <= 10""")
+def q_subject_profiles(spark, d):
+    """Every subject's profile page: its items, newest first, and the first ten
+    of its stored recommendations, both named."""
+    f = B.frames(spark, d)
+    items, recs = PR.profile(NB.item_history(f.item_events()), pop_store(spark, d), f.item_names())
+    return items.unionByName(recs).withColumn("score", r6(F.col("score")))
