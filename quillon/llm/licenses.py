@@ -72,18 +72,31 @@ def license_report(docs: DataFrame, table: DataFrame | None = None) -> DataFrame
             .join(table, "hash", "left").filter((F.col("gram") == F.col("words")) | (F.col("pos") == 0))
             .withColumn("template", F.when(F.col("gram") == F.col("words"), F.col("template"))))
     key = ["doc_id", "row", "n_words"]
-    votes = (hits.withColumn("diagonal", F.col("pos") - F.col("at"))
-             .groupBy(*key, "template", F.when(F.col("template").isNotNull(), F.col("diagonal")).alias("diagonal"))
-             .agg(F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"),
-                  F.count_if(F.col("pos") == 0).alias("heads"), F.countDistinct("pos").alias("votes")))
-    near = Window.partitionBy(*key, "template").orderBy("diagonal")
+    # Equal rows share their hits; how many they are stands at position 0.
+    single = (hits.withColumn("diagonal", F.col("pos") - F.col("at"))
+              .withColumn("at", F.when(F.col("template").isNotNull(), F.col("at")))
+              .withColumn("diagonal", F.when(F.col("template").isNotNull(), F.col("diagonal")))
+              .groupBy(*key, "template", "pos", "at", "diagonal")
+              .agg(F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"),
+                   F.count_if(F.col("pos") == 0).alias("heads")))
+    # Neighbouring diagonals merge into a span.
+    of = Window.partitionBy(*key, "template")
+    near = of.orderBy("diagonal", "pos")
     opens = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(near) > GAP).cast("int"), F.lit(0))
-    spans = (votes.withColumn("opens", opens).withColumn("span", F.sum("opens").over(near))
+    placed = (single.withColumn("opens", opens).withColumn("span", F.sum("opens").over(near))
+              .withColumn("full", F.count(F.lit(1)).over(Window.partitionBy(*key, "template", "diagonal")) == F.col("grams")))
+    # Verification: places of the template count once, and only where they rise
+    # with the text, read from the front or from the back.
+    run = Window.partitionBy(*key, "template", "span").orderBy("pos", "at")
+    back = Window.partitionBy(*key, "template", "span").orderBy(F.col("pos").desc(), F.col("at").desc())
+    up = F.col("at") > F.coalesce(F.max("at").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    down = F.col("at") < F.coalesce(F.min("at").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.col("grams"))
+    starts = F.col("full") & (F.col("at") == 0)
+    spans = (placed.withColumn("up", up).withColumn("down", down)
              .groupBy(*key, "template", "label", "base", "grams", "span")
-             .agg(F.sum("votes").alias("votes"), F.max("heads").alias("heads"),
-                  F.count_if(F.col("votes") == F.col("grams")).alias("places"),
-                  F.min(F.when(F.col("votes") == F.col("grams"), F.col("diagonal"))).alias("first"),
-                  F.max(F.when(F.col("votes") == F.col("grams"), F.col("diagonal"))).alias("last")))
+             .agg(F.greatest(F.count_if("up"), F.count_if("down")).alias("votes"), F.max("heads").alias("heads"),
+                  F.count_if(starts).alias("places"), F.min(F.when(starts, F.col("diagonal"))).alias("first"),
+                  F.max(F.when(starts, F.col("diagonal"))).alias("last")))
     share = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     found = F.col("base") & (F.col("places") > 0)
