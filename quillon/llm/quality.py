@@ -4,7 +4,7 @@ a text as content or boilerplate; the share of content characters decides.
 The field has two states, a weight vector per state over ``FEATURES`` line
 features, and a transition matrix.  It is trained here by gradient ascent on
 the log-likelihood (forward-backward) of a bounded sample of labelled
-documents, of each its first ``TRAIN_LINES`` lines with a word: lines of good documents are content, lines of bad ones
+documents, of each at most ``TRAIN_LINES`` lines with a word, drawn by hash from the whole text: lines of good documents are content, lines of bad ones
 boilerplate.  Decoding is Viterbi over all lines with a word, whole texts.
 
 Defined cases: null or empty text has no words, fails the base rules and is
@@ -15,6 +15,7 @@ every line content; equal rows get equal results.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = 10
 #: Labelled documents that training reads at most, the length up to which it
 #: takes a text, and the lines with a word that it reads from a text's start.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 800, 20_000, 40
+TRAIN_DOCS, TRAIN_LINES = 800, 40
 
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "base_failed boolean, kept boolean, content_share double")
@@ -92,26 +93,39 @@ def viterbi(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return path
 
 
+def _drawn_lines(batches):
+    """Features of the drawn lines of each text, in the order of the text."""
+    for pdf in batches:
+        out = []
+        for i, q, text in zip(pdf["doc_id"], pdf["quality"], pdf["text"]):
+            lines, repeats, _ = _lines(text)
+            if not lines:
+                continue
+            at = range(len(lines))
+            if len(lines) > TRAIN_LINES:
+                at = sorted(sorted(at, key=lambda k: (zlib.crc32(f"{k}:{lines[k][0]}".encode("utf-8", "replace")), k))[:TRAIN_LINES])
+            out.append((i, q, [[float(v) for v in line_features(*lines[k], repeats[k])] for k in at]))
+        yield pd.DataFrame(out, columns=["doc_id", "quality", "x"])
+
+
 def train(docs: DataFrame, labels: DataFrame, docs_limit: int = TRAIN_DOCS, steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> dict:
     """Fit on the texts of at most ``docs_limit`` labelled documents, half of
-    each class, picked by a hash of their id, one text of each (the smallest).  Returns weights (2 x FEATURES;
-    state 1 is boilerplate) and transitions, a few dozen numbers."""
+    each class, picked by a hash of their id, one text of each (the smallest).
+    An id that is labelled both ways trains both classes.  Tasks turn each text
+    into the features of at most ``TRAIN_LINES`` of its lines, drawn by hash from
+    the whole text, so no text reaches the driver.  Returns weights (2 x
+    FEATURES; state 1 is boilerplate) and transitions, a few dozen numbers."""
     untrained = {"weights": [[0.0] * FEATURES] * 2, "trans": [[0.0, 0.0], [0.0, 0.0]]}
     pick = None
     for q in (0, 1):
         part = (labels.filter((F.col("quality") == q) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
                 .orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_limit // 2))
         pick = part if pick is None else pick.union(part)
-    # At most docs_limit rows are broadcast.
-    rows = (docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
-            .filter(F.length("text") <= TRAIN_CHARS).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-            .orderBy("doc_id", "text").select("text", "quality").collect())
-    seqs = []
-    for text, quality in rows:
-        lines, repeats, _ = _lines(text)
-        if lines:
-            x = [line_features(a, w, s) for (a, w), s in zip(lines, repeats)][:TRAIN_LINES]
-            seqs.append((np.array(x), 1 - quality))
+    # At most docs_limit rows are broadcast, and as many come back.
+    rows = (docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").filter(F.col("text").isNotNull())
+            .groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+            .mapInPandas(_drawn_lines, "doc_id long, quality int, x array<array<double>>").orderBy("doc_id", "quality").collect())
+    seqs = [(np.array(r["x"]), 1 - r["quality"]) for r in rows]
     if len({y for _, y in seqs}) < 2:
         return untrained
     n, t = len(seqs), max(len(x) for x, _ in seqs)
