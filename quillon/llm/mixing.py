@@ -103,10 +103,17 @@ def fair_mix(docs: DataFrame, share: float = 1.5, weights: tuple = (5, 2, 1), re
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix as documents: a row for each copy taken, all columns kept.
-    Equal rows share their copies, rounded up."""
-    plan = (fair_mix(docs, **params).filter("copies > 0").groupBy(F.col("key").alias("__mix_key"))
-            .agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("__mix_copies")))
-    return (docs.withColumn("__mix_key", row_key("doc_id", "source", "text"))
-            .join(plan, "__mix_key")
-            .withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-            .select(*docs.columns))
+
+    Equal rows (id, source and text) share their copies evenly; what does not
+    divide is added as further copies of one of them, so the mix holds exactly
+    the planned words and no equal rows need be numbered."""
+    plan = (fair_mix(docs, **params).groupBy(F.col("key").alias("__mix_key"))
+            .agg(F.sum("copies").alias("__mix_sum"), F.count(F.lit(1)).alias("__mix_rows")).filter("__mix_sum > 0")
+            .select("__mix_key", F.floor(F.col("__mix_sum") / F.col("__mix_rows")).cast("int").alias("__mix_each"),
+                    (F.col("__mix_sum") % F.col("__mix_rows")).cast("int").alias("__mix_more")))
+    plan = written(plan, "copies")
+    keyed = docs.withColumn("__mix_key", row_key("doc_id", "source", "text"))
+    times = lambda rows, n: rows.withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    each = times(keyed.join(plan.filter("__mix_each > 0"), "__mix_key"), "__mix_each")
+    more = times(keyed.join(plan.filter("__mix_more > 0"), "__mix_key").dropDuplicates(["__mix_key"]), "__mix_more")
+    return each.unionByName(more)
