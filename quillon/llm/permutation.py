@@ -17,8 +17,8 @@ Random directions have no clusters: to reach a recall of 0.9 in 64 dimensions
 about half of all files must be read (measured in the README).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do vectors of another length than the most
-common one; rows without an id take no part; equal rows count once, an id
+components take no part; a shorter vector than the longest ends in zeros; rows
+without an id take no part; equal rows count once, an id
 with two vectors counts as two; fewer than k candidates give shorter lists.
 """
 
@@ -100,8 +100,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVO
             probe: int = PROBE, keep: float = KEEP, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     rows = usable(vectors)
-    size = rows.agg(F.mode(F.size("vector"))).first()[0]
-    rows = rows.filter(F.size("vector") == (size or 0))
+    size = rows.agg(F.max(F.size("vector"))).first()[0]
+    # Inner products of unequal lengths: the shorter vector ends in zeros.
+    zeros = F.array_repeat(F.lit(0.0), F.lit(size or 0) - F.size("vector"))
+    rows = rows.withColumn("vector", F.when(F.size("vector") < (size or 0), F.concat("vector", zeros)).otherwise(F.col("vector")))
     items = distinct_vectors(rows, k)
     found = items.select("vector").orderBy("key").limit(pivots).collect()
     base = np.array([r[0] for r in found], dtype=np.float64).reshape(len(found), size or 1)
