@@ -1,4 +1,4 @@
-"""Array-column expressions (T1, T2, T5, T6, N1, N2 for small data).
+"""Array-column expressions.
 
 All are built-in higher-order functions, so they stay inside whole-stage
 codegen; there is no Python UDF on this path.
@@ -14,6 +14,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with the value computed once per row: an expression that a
+    lambda refers to is evaluated anew for every element, a bound variable is not."""
+    return F.get(F.transform(F.array(_c(value)), body), F.lit(0))
+
+
 def dense_from_positions(positions, n) -> Column:
     """Multi-hot float vector of length ``n`` from an array of set positions."""
     positions = F.coalesce(_c(positions), F.array().cast("array<int>"))
@@ -30,8 +36,8 @@ def dense_from_entries(entries, n, default: float = 0.0) -> Column:
                                       F.array().cast("array<struct<pos:int,val:double>>")))
     n = n if isinstance(n, Column) else F.lit(n)
     return F.when(n <= 0, F.array().cast("array<double>")).otherwise(
-        F.transform(F.sequence(F.lit(0), n - 1),
-                    lambda i: F.coalesce(F.element_at(m, i), F.lit(default)).cast("double")))
+        let(m, lambda v: F.transform(F.sequence(F.lit(0), n - 1),
+                                     lambda i: F.coalesce(F.element_at(v, i), F.lit(default)).cast("double"))))
 
 
 def sum_array(v) -> Column:
@@ -53,10 +59,9 @@ def smooth_l2_normalize(v, eps: float = 1e-4) -> Column:
     An all-zero input of length n becomes 1/sqrt(n) everywhere; length 0
     stays empty (the unguarded formula would divide by zero).
     """
-    sm = F.transform(_c(v), lambda x: x.cast("double") + F.lit(eps))
-    nrm = l2_norm(sm)
-    return F.when(F.size(sm) == 0, F.array().cast("array<double>")).otherwise(
-        F.transform(sm, lambda x: x / nrm))
+    smoothed = F.transform(_c(v), lambda x: x.cast("double") + F.lit(eps))
+    return let(smoothed, lambda sm: F.when(F.size(sm) == 0, F.array().cast("array<double>")).otherwise(
+        let(l2_norm(sm), lambda nrm: F.transform(sm, lambda x: x / nrm))))
 
 
 def to_float_array(v) -> Column:
@@ -70,17 +75,3 @@ def scale(v, w: float) -> Column:
 def weighted_concat(parts) -> Column:
     """Concat of (array column, weight) parts into one double vector."""
     return F.concat(*[scale(c, w) for c, w in parts])
-
-
-def cosine(a, b) -> Column:
-    """N1 (expression form): cosine similarity clipped to [0, 1]."""
-    d = dot(a, b)
-    den = l2_norm(a) * l2_norm(b)
-    return F.least(F.greatest(F.when(den > 0, d / den).otherwise(F.lit(0.0)),
-                              F.lit(0.0)), F.lit(1.0))
-
-
-def algebraic_jaccard(a, b) -> Column:
-    """N2 (expression form): a.b / max(sum a + sum b - a.b, 1e-9) on real vectors."""
-    d = dot(a, b)
-    return d / F.greatest(sum_array(a) + sum_array(b) - d, F.lit(1e-9))
