@@ -6,21 +6,21 @@
     others by hash.  Two sets with Jaccard of at least t share a shingle in
     their prefixes of ``n - ceil(t n) + 1``; shingles that occur once fill
     prefix places but never need posting.
-3.  Items with identical prefixes and size form a group, whose first member
-    stands for it among the leaders; pairs with a leader are filtered by size and
-    by the largest overlap that their prefixes allow.  The other pairs are made
-    item by item, not by group.  Full sets decide.
+3.  Items with identical prefixes and size form a group.  Groups are posted at
+    their prefix shingles; group pairs are filtered by size and by the largest
+    overlap that their prefixes allow, and only those left are expanded to
+    members.  Full sets decide.
 
 Pairs are tried in two
-rounds: each item with its group's first and with up to ``LEADERS`` leaders of
-its prefix shingles; then every other pair that the size and sketch bounds allow, made
-at the first prefix shingle that the two share.  Where only components are asked
-for (``one_of_each``), the second round leaves out pairs that the first one put
-in one component; link counts need them all.  One leader is the most central item, that whose
-shingles occur in the most items: edited copies resemble their source more than
-each other.  Components of families thus cost a few pairs per member, their links as
-many pairs as there are.  Prefix shingles are posted by 32 of their bits; two that agree in these
-only bring further candidates.
+rounds: each item with its group's first and, for the groups' firsts, with up to
+``LEADERS`` leaders of their prefix shingles; then the expanded pairs of the group
+join.  Where only components are asked for (``similar_components``,
+``one_of_each``), the second round leaves out pairs that the first one put in one
+component; ``similar_links`` makes them all.  One leader is the most central item,
+that whose shingles occur in the most items: edited copies resemble their source
+more than each other.  Components of families thus cost a few pairs per member,
+their links as many pairs as there are.  Prefix shingles are posted by 32 of their
+bits; two that agree in these only bring further candidates.
 
 Both rounds also use odd sketches, ``SKETCH`` parity bits of each whole set:
 two sketches differ in at most as many bits as the sets differ in shingles, so
@@ -182,19 +182,33 @@ def _joined(docs: DataFrame, size: int, percent: int, all_links: bool) -> tuple[
     # item counts as its own.
     if all_links:
         roots = roots.select("id", F.col("id").alias("root"))
-    placed = (prefixes.select("uid", F.explode("prefix").alias("shingle")).join(roots.withColumnRenamed("id", "uid"), "uid", "left")
-              .withColumn("root", F.coalesce("root", "uid")))
-    split = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    mixed = written(placed.join(split, "shingle"), "mixed")
+    members = written(prefixes.select("uid", "gid", "n", "odd").join(roots.withColumnRenamed("id", "uid"), "uid", "left")
+                      .withColumn("root", F.coalesce("root", "uid")), "members")
+    spread = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    groups = written(prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.max("rest").alias("rest"))
+                     .join(spread, "gid"), "groups")
+    placed = groups.select("gid", "lo", "hi", F.explode("prefix").alias("shingle"))
+    split = placed.groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("shingle")
+    mixed = written(placed.select("gid", "shingle").join(split, "shingle"), "mixed")
     # Only short lists are posted along, so that a posting stays small; pairs of
     # longer ones may be made at several shingles and are told apart after.
-    own = (mixed.groupBy("uid").agg(F.sort_array(F.collect_list("shingle")).alias("own"))
-           .select("uid", F.when(F.size("own") <= POSTED, F.col("own")).alias("own")))
-    posts = written(mixed.join(own, "uid").join(prefixes.select("uid", "n", "odd"), "uid").select("shingle", "uid", "root", "n", "own", "odd"), "posts")
-    a, b = posts.toDF("shingle", "a", "roota", "na", "pa", "oa"), posts.toDF("shingle", "b", "rootb", "nb", "pb", "ob")
+    own = (mixed.groupBy("gid").agg(F.sort_array(F.collect_list("shingle")).alias("own"))
+           .select("gid", F.when(F.size("own") <= POSTED, F.col("own")).alias("own")))
+    posts = written(mixed.join(own, "gid").join(groups.select("gid", "n", "lo", "hi"), "gid").select("shingle", "gid", "n", "lo", "hi", "own"), "posts")
+    a, b = posts.toDF("shingle", "ga", "na", "loa", "hia", "pa"), posts.toDF("shingle", "gb", "nb", "lob", "hib", "pb")
     once = F.coalesce(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == a["shingle"], F.lit(True))
-    rest = (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & _possible(percent, False) & once)
-            .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    apart = (F.least("loa", "lob") != F.greatest("hia", "hib")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    met = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("ga") > F.col("gb")) & apart & once).select("ga", "gb").distinct()
+    ends = groups.select("gid", "n", "prefix", "rest")
+    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    near = (met.join(ends.toDF("ga", "na", "pa", "ra"), "ga").join(ends.toDF("gb", "nb", "pb", "rb"), "gb")
+            .filter(F.size(F.array_intersect("pa", "pb")) + F.greatest("ra", "rb") >= need).select("ga", "gb")
+            .union(groups.filter("lo <> hi").select("gid", "gid")))
+    # Group pairs that are left expand to their members.
+    rest = (near.join(members.toDF("a", "ga", "na", "oa", "roota"), "ga").join(
+        members.toDF("b", "gb", "nb", "ob", "rootb"), "gb")
+        .filter((F.col("roota") != F.col("rootb")) & ((F.col("ga") != F.col("gb")) | (F.col("a") > F.col("b"))) & _possible(percent, False))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     rest = written(rest, "pairs")
     if not rest.isEmpty():
         links = links.union(_linked(rest, items, docs, size, percent))
@@ -204,17 +218,15 @@ def _joined(docs: DataFrame, size: int, percent: int, all_links: bool) -> tuple[
 
 
 def similar_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links_found
-    (how many different sets are linked with this document's)."""
-    heads, sets, links = _joined(docs, size, percent, all_links=True)
+    """One row per document: doc_id, n_shingles, component_id, class_id (the
+    same for documents with equal sets, else different; null without words)."""
+    heads, sets, _ = _joined(docs, size, percent, all_links=False)
     named = sets.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
-    sets = (sets.join(named, "root").join(degree, "uid", "left")
-            .select(F.col("set_id").alias("s"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    sets = sets.join(named, "root").select(F.col("set_id").alias("s"), "component_id")
     full = heads.filter("n > 0").join(sets, F.col("set_id") == F.col("s"))
-    out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("n_links").alias("n_links_found")]
-    return full.select(*out).union(heads.filter("n = 0").select(
-        "doc_id", F.col("n").cast("long"), F.col("doc_id"), F.lit(0).cast("long")))
+    n = F.col("n").cast("long").alias("n_shingles")
+    return full.select("doc_id", n, "component_id", F.col("set_id").alias("class_id")).union(
+        heads.filter("n = 0").select("doc_id", n, F.col("doc_id"), F.lit(None).cast("long")))
 
 
 def similar_links(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

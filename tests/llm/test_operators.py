@@ -234,12 +234,35 @@ def test_ngram_join_counts_every_link(spark):
     linked = lambda a, b: a != b and 100 * len(a & b) >= 85 * len(a | b)
     classes = set(map(frozenset, sets)) - {frozenset()}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.n_links_found for r in ngramjoin.similar_components(df).collect()}
-    assert got == {k: sum(linked(s, c) for c in classes) for k, s in enumerate(sets)} and got[2] == 9
     links = [tuple(r) for r in ngramjoin.similar_links(df).collect()]
+    degree = Counter(c for link in links for c in link)
+    got = {r.doc_id: degree[r.class_id] for r in ngramjoin.similar_components(df).collect()}
+    assert got == {k: sum(linked(s, c) for c in classes) for k, s in enumerate(sets)} and got[2] == 9
     assert len(links) == len(set(links)) == sum(linked(a, b) for a in classes for b in classes) // 2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ngram_join_on_random_families(spark, seed):
+    rng = np.random.default_rng(seed)
+    texts = []
+    for family in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 60, 40 + 3 * family)]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.integers(0, 4)):
+                w[rng.integers(0, len(w))] = f"n{rng.integers(0, 8)}"
+            texts.append(" ".join(w[:len(w) - rng.integers(0, 3)]))
+    sets = [{tuple(w[k:k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    root = components_of(sets, 85)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = ngramjoin.similar_components(df).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(root))
+    of = {r.class_id: frozenset(sets[r.doc_id]) for r in rows}
+    links = {frozenset(map(of.get, link)) for link in ngramjoin.similar_links(df).collect()}
+    classes = list(set(map(frozenset, sets)))
+    assert links == {frozenset((a, b)) for i, a in enumerate(classes) for b in classes[:i] if 100 * len(a & b) >= 85 * len(a | b)}
+
+
 def test_line_dedup(docs, empty):
     rows = {r.doc_id: r for r in linededup.line_report(docs).collect()}
     assert rows[6].kept_lines == [0, 3] and rows[6].n_removed == 1 and rows[2].n_removed == 1 and rows[1].n_removed == 0
