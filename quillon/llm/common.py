@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from quillon.sources.tables import read_table
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
@@ -27,9 +32,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    note(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def note(path: str, table: str | None = None) -> None:
+    """Tell an open ``noted`` block of an intermediate table."""
+    made = _MADE.get()
+    if made is not None:
+        made.append((path, table))
+
+
+@contextmanager
+def noted():
+    """A list that gathers the intermediate tables written inside the block."""
+    made: list[tuple[str, str | None]] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
+def dropped(spark: SparkSession, made: list, docs: DataFrame) -> list:
+    """Delete intermediate tables but those that ``docs`` reads, which are
+    returned; plans that nobody holds then let go of their shuffle files."""
+    read = docs.inputFiles()
+    kept = [(path, table) for path, table in made if any(path.split("/")[-1] in f for f in read)]
+    for path, table in made:
+        if (path, table) in kept:
+            continue
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._jvm.System.gc()  # Spark's cleaner follows the driver's collector
+    return kept
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

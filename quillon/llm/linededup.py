@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import row_key, shuffle_partitions, written
+from quillon.llm.common import note, row_key, shuffle_partitions, written
 from quillon.llm.components import components
 from quillon.session import checkpoint_dir
 
@@ -61,8 +61,9 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
              .agg(F.min("line").alias("line"),
                   F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos")).alias("first")))
     name = f"lines_{uuid.uuid4().hex}"
-    (lines.write.format("parquet").bucketBy(shuffle_partitions(spark), "line_key")
-     .option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name))
+    path = f"{checkpoint_dir(spark)}/{name}"
+    lines.write.format("parquet").bucketBy(shuffle_partitions(spark), "line_key").option("path", path).saveAsTable(name)
+    note(path, name)
     return spark.table(name)
 
 
