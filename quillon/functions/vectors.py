@@ -40,14 +40,6 @@ def dense_from_entries(entries, n, default: float = 0.0) -> Column:
                                      lambda i: F.coalesce(F.element_at(v, i), F.lit(default)).cast("double"))))
 
 
-def sum_array(v) -> Column:
-    return F.aggregate(_c(v), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-
-
-def dot(a, b) -> Column:
-    return sum_array(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")))
-
-
 def l2_norm(v) -> Column:
     return F.sqrt(F.aggregate(_c(v), F.lit(0.0).cast("double"),
                               lambda acc, x: acc + x.cast("double") * x.cast("double")))

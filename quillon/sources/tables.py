@@ -21,11 +21,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one parquet table.  Column pruning and filter pushdown are left to
     Catalyst: callers select/filter and the scan's ReadSchema follows."""
     return spark.read.parquet(table_path(sf_dir, name))
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register every table as a temp view (for Spark SQL users)."""
-    for n in names:
-        p = table_path(sf_dir, n)
-        if os.path.exists(p):
-            read_table(spark, sf_dir, n).createOrReplaceTempView(n)
