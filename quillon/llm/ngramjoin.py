@@ -49,7 +49,7 @@ from quillon.llm.shingles import shingle_sets
 
 # Of 256 hash classes, those whose shingles are counted and ordered by rarity.
 COUNTED = 51
-LEADERS, SKETCH = 4, 1024
+LEADERS, SKETCH = 16, 1024
 # Prefix shingles that a posting of the second round may list.
 POSTED = 64
 
@@ -184,7 +184,10 @@ def _joined(docs: DataFrame, size: int, percent: int, all_links: bool) -> tuple[
         roots = roots.select("id", F.col("id").alias("root"))
     members = written(prefixes.select("uid", "gid", "n", "odd").join(roots.withColumnRenamed("id", "uid"), "uid", "left")
                       .withColumn("root", F.coalesce("root", "uid")), "members")
-    spread = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    # A group of one carries its sketch, so that its pairs need no expansion to
+    # be told apart.
+    spread = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                        F.when(F.count(F.lit(1)) == 1, F.first("odd")).alias("odd"))
     groups = written(prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.max("rest").alias("rest"))
                      .join(spread, "gid"), "groups")
     placed = groups.select("gid", "lo", "hi", F.explode("prefix").alias("shingle"))
@@ -194,10 +197,12 @@ def _joined(docs: DataFrame, size: int, percent: int, all_links: bool) -> tuple[
     # longer ones may be made at several shingles and are told apart after.
     own = (mixed.groupBy("gid").agg(F.sort_array(F.collect_list("shingle")).alias("own"))
            .select("gid", F.when(F.size("own") <= POSTED, F.col("own")).alias("own")))
-    posts = written(mixed.join(own, "gid").join(groups.select("gid", "n", "lo", "hi"), "gid").select("shingle", "gid", "n", "lo", "hi", "own"), "posts")
-    a, b = posts.toDF("shingle", "ga", "na", "loa", "hia", "pa"), posts.toDF("shingle", "gb", "nb", "lob", "hib", "pb")
+    posts = written(mixed.join(own, "gid").join(groups.select("gid", "n", "lo", "hi", "odd"), "gid")
+                    .select("shingle", "gid", "n", "lo", "hi", "odd", "own"), "posts")
+    a, b = posts.toDF("shingle", "ga", "na", "loa", "hia", "oa", "pa"), posts.toDF("shingle", "gb", "nb", "lob", "hib", "ob", "pb")
     once = F.coalesce(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == a["shingle"], F.lit(True))
-    apart = (F.least("loa", "lob") != F.greatest("hia", "hib")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    apart = ((F.least("loa", "lob") != F.greatest("hia", "hib")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+             & (F.col("oa").isNull() | F.col("ob").isNull() | _possible(percent, False)))
     met = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("ga") > F.col("gb")) & apart & once).select("ga", "gb").distinct()
     ends = groups.select("gid", "n", "prefix", "rest")
     need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
