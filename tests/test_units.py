@@ -224,3 +224,44 @@ def test_whole_reports(spark):
     als = runs["als-1"]
     assert set(runs) == {"als-1", "pop-k7", "pop-k10"} and als.metric == "rmse" and als.value > 0
     assert als.cmp_rmse == als.value and abs(als.score - 1 / (1 + als.value)) < 1e-12
+
+
+def _edge_rows(vecs, k, w, **kw):
+    return sorted((r.src, r["rank"], r.dst, round(r.sim, 9)) for r in SIM.top_k_edges(vecs, k, w, **kw).collect())
+
+
+@pytest.mark.parametrize("w", [0.0, 0.3])
+def test_edges_of_copies_and_repeated_ids(spark, monkeypatch, w):
+    """Classes of equal vectors, ids that occur twice, and a share a block: the
+    lists of comparing all rows with all rows."""
+    from quillon.operators import blocks as BL
+    rng = np.random.default_rng(5)
+    X, J = rng.random((60, 6)) - 0.3, rng.random((60, 4))
+    X[:3] = 0
+    rows = [(3 * i, X[i].tolist(), J[i].tolist()) for i in range(60)]
+    rows += [(1000 + c, X[5].tolist(), J[5].tolist()) for c in range(20)] + rows[20:24] + [(30, X[7].tolist(), J[7].tolist())] * 2
+    vecs, k = spark.createDataFrame(rows, "id long, vec array<double>, jvec array<double>"), 5
+    want = []
+    for src in {r[0] for r in rows}:
+        found = []
+        for a in (r for r in rows if r[0] == src):
+            for b in rows:
+                if b[0] != src:
+                    va, vb, ja, jb = map(np.array, (a[1], b[1], a[2], b[2]))
+                    n = (np.linalg.norm(va) or 1.0) * (np.linalg.norm(vb) or 1.0)
+                    s = (1 - w) * (va @ vb / n) + w * (ja @ jb) / max(ja.sum() + jb.sum() - ja @ jb, 1e-9)
+                    found.append((-round(min(max(s, 0.0), 1.0), 9), b[0]))
+        want += [(src, p + 1, dst, -s) for p, (s, dst) in enumerate(sorted(found)[:k])]
+    for share in (1 << 30, 600):
+        monkeypatch.setattr(BL, "SHARE_BYTES", share)
+        got = _edge_rows(vecs, k, w, n_blocks=3, block_rows=8)
+        assert [g[:3] for g in got] == [x[:3] for x in sorted(want)]
+        assert np.allclose([g[3] for g in got], [x[3] for x in sorted(want)], atol=1e-8)
+
+
+def test_vectors_are_not_replicated_by_block(spark):
+    """Each vector is shuffled once, not once for every block it is compared with."""
+    vecs = spark.range(400).select("id", F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.sin(i * (F.col("id") + 1))).alias("vec"),
+                                   F.array(F.lit(1.0)).alias("jvec"))
+    plan = SIM.top_k_edges(vecs, 3, n_blocks=20, block_rows=20)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "sequence(0" not in plan
