@@ -283,9 +283,10 @@ WHERE i.subject_id IN (SELECT subject_id FROM code_events WHERE code IN ('Brand#
 GROUP BY 1""")
 def q_items_for_cohort(spark, d):
     f = B.frames(spark, d)
-    cohort = f.code_events().filter(F.col("code").isin("Brand#1", "Brand#2", "Brand#3")).select("subject_id")
-    return (f.item_events().join(cohort, "subject_id", "left_semi").groupBy("item_id")
-            .agg(F.count_distinct("subject_id").alias("subjects")))
+    # Dates play no part, so rows are made distinct without them, after the cohort's filter.
+    cohort = f.code_rows().filter(F.col("code").isin("Brand#1", "Brand#2", "Brand#3")).select("subject_id").distinct()
+    pairs = f.item_rows().select("subject_id", "item_id").join(cohort, "subject_id", "left_semi").distinct()
+    return pairs.groupBy("item_id").agg(F.count("subject_id").alias("subjects"))
 
 
 # ---------------------------------------------------------------- data quality
