@@ -63,7 +63,9 @@ def test_run_table_reads_stored_metrics(spark):
     df = queries()["model_runs"](spark, SF)
     files = df.inputFiles()
     assert files and all("run-metrics" in f for f in files)
-    assert sorted(r["run_id"] for r in df.collect()) == ["als-1", "pop-k10", "pop-k7"]
+    rows = {r["run_id"]: r for r in df.collect()}
+    assert sorted(rows) == ["als-1", "pop-k10", "pop-k7"]
+    assert rows["pop-k10"]["cmp_ndcg"] == rows["pop-k7"]["cmp_ndcg"] == rows["pop-k7"]["value"]
 
 
 def test_cohort_items_count_subjects_once(spark, tmp_path):
