@@ -4,7 +4,9 @@ Byte-level and word BPE never merge across white space, so a text's ids are
 the ids of its space-separated chunks in turn.  ``Encoder`` keeps the ids of
 the chunks it has met and asks the library only for new ones.  Texts where
 chunks could differ from the whole (special-token strings, white space
-outside ASCII) and tokenizer files of other kinds are encoded whole.
+outside ASCII) and tokenizer files of other kinds are encoded whole.  New
+chunks are encoded as one text, kept apart by a separator whose id occurs in
+no chunk, so that the library makes one result for all of them.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import numpy as np
 # Chunks that one worker remembers; beyond it the memory starts anew.
 CACHE_CHUNKS = 600_000
 
-_ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _BYTE = re.compile("[ ]?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _WORD = re.compile("[^\t-\r ]+")
+# Between chunks: white space for ``_BYTE``, a word of its own for ``_WORD``.
+_BETWEEN = {_BYTE: "\n", _WORD: " \x00 "}
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -34,6 +38,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.chunks = self._chunks(path)
+        self.between = _BETWEEN.get(self.chunks)
+        self.cut = self._ids(self.between) if self.between else ()
 
     @staticmethod
     def _chunks(path: str):
@@ -49,21 +55,38 @@ class Encoder:
             return _WORD
         return None
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        """The ids of every chunk, of one call of the library where they can be told apart."""
+        mark = self.between.strip(" ")
+        if len(self.cut) == 1 and not any(mark in c for c in chunks):
+            ids = self._ids(self.between.join(chunks))
+            at = np.flatnonzero(ids == self.cut[0])
+            if len(at) == len(chunks) - 1:
+                data, cuts = ids.tobytes(), (4 * at).tolist()
+                return [data[i:j] for i, j in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)])]
+        return [self._whole(c) for c in chunks]
 
     def encode(self, text: str) -> bytes:
-        if self.chunks is None or _ODD.search(text):
+        if self.chunks is None or "<|" in text or _ODD.search(text):
             return self._whole(text)
         chunks, cache = self.chunks.findall(text), self.cache
-        new = list({c for c in chunks if c not in cache})
+        ids = list(map(cache.get, chunks))
+        new = {c for c, known in zip(chunks, ids) if known is None}
         if new:
             if len(cache) + len(new) > CACHE_CHUNKS:
                 cache.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(cache.__getitem__, chunks))
+            # White space next to the separator would join it.
+            plain = [c for c in new if not c.isspace()]
+            cache.update(zip(plain, self._each(plain)))
+            cache.update((c, self._whole(c)) for c in new if c.isspace())
+            ids = [cache[c] if known is None else known for c, known in zip(chunks, ids)]
+        return b"".join(ids)
 
 
 def encoder(path: str) -> Encoder:
