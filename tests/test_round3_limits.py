@@ -2,11 +2,9 @@
 import os
 import threading
 
-import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import clean as C
-from quillon.operators import models as MD
 from quillon.operators import raw_files as RF
 from quillon.operators import similarity as SIM
 from quillon.session import checkpoint_dir
@@ -27,3 +25,20 @@ def test_lists_are_shuffled_by_block_and_vectors_deleted(spark):
     assert _tables(spark, "vectors") <= before
     assert "FlatMapGroupsInPandas [a_no" in edges._jdf.queryExecution().executedPlan().toString()
     assert edges.count() == 900
+
+
+def test_tables_are_cleaned_side_by_side(spark, tmp_path, monkeypatch):
+    """The jobs of two tables are under way together; their rows are reported in the given order."""
+    met, one = threading.Barrier(2, timeout=60), RF.clean_and_write
+
+    def meeting(*args):
+        met.wait()
+        return one(*args)
+
+    monkeypatch.setattr(RF, "clean_and_write", meeting)
+    meds = spark.createDataFrame([("2020-01-01T00:00:00Z", "1", "c"), ("2020-01-01T00:00:00Z", "1", "c"), (None, "1", "c"), ("2020-01-01T00:00:00Z", "", "c")],
+                                 "START string, PATIENT string, CODE string")
+    people = spark.createDataFrame([("1", "1950-01-01", "m"), ("2", "1850-01-01", "f"), ("3", None, "f")], "Id string, BIRTHDATE string, GENDER string")
+    rows = RF.clean_tables(spark, {"patients": people, "medications": meds}, str(tmp_path), C.RAW_SPECS).collect()
+    assert [tuple(r) for r in rows] == [("patients", 3, 1, 0, 1, 0, 1, 0), ("medications", 4, 1, 0, 1, 1, 0, 1)]
+    assert spark.read.parquet(f"{tmp_path}/patients").count() == spark.read.parquet(f"{tmp_path}/medications").count() == 1
