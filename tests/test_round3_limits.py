@@ -5,6 +5,7 @@ import threading
 from pyspark.sql import functions as F
 
 from quillon.operators import clean as C
+from quillon.operators import models as MD
 from quillon.operators import raw_files as RF
 from quillon.operators import similarity as SIM
 from quillon.session import checkpoint_dir
@@ -42,3 +43,24 @@ def test_tables_are_cleaned_side_by_side(spark, tmp_path, monkeypatch):
     rows = RF.clean_tables(spark, {"patients": people, "medications": meds}, str(tmp_path), C.RAW_SPECS).collect()
     assert [tuple(r) for r in rows] == [("patients", 3, 1, 0, 1, 0, 1, 0), ("medications", 4, 1, 0, 1, 1, 0, 1)]
     assert spark.read.parquet(f"{tmp_path}/patients").count() == spark.read.parquet(f"{tmp_path}/medications").count() == 1
+
+
+def test_grid_fits_leave_no_factors_stored(spark):
+    """The packed factors of a fit are deleted once its lists are stored."""
+    rows = [(u, i, 1.0) for u in range(12) for i in range(10) if (u * 7 + i * 3) % 4]
+    inter = spark.createDataFrame(rows, "u int, i int, rating double")
+    before = _tables(spark, "blocks")
+    out = MD.als_grid_search(inter, inter.filter("(u + i) % 5 = 0"), {"rank": [2, 3], "maxIter": [7], "regParam": [0.1], "alpha": [1.0]}, k=3).collect()
+    assert [r["status"] for r in out] == ["ok", "ok"] and sum(r["is_best"] for r in out) == 1
+    assert _tables(spark, "blocks") <= before
+
+
+def test_few_training_rows_are_few_partitions(spark, monkeypatch):
+    """Each level of each tree is a job over the training partitions: their number follows the rows."""
+    from pyspark.ml import Pipeline
+    rows = spark.range(0, 400, 1, 40).select(F.col("id").alias("x"), (F.col("id") % 2).cast("int").alias("label"))
+    seen = []
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append(df))
+    monkeypatch.setattr(MD, "TREE_ROWS", 100)
+    MD.fit_gbt(rows, ["x"])
+    assert seen[0].rdd.getNumPartitions() == 4 and seen[0].count() == 400
