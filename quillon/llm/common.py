@@ -66,10 +66,16 @@ def dropped(spark: SparkSession, made: list, docs: DataFrame) -> list:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    spark._jvm.System.gc()  # Spark's cleaner follows the driver's collector
+    let_go(spark)
     return kept
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that nobody holds deleted: Spark's cleaner
+    follows the driver's collector."""
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import note, row_key, shuffle_partitions, written
+from quillon.llm.common import let_go, note, row_key, shuffle_partitions, written
 from quillon.llm.components import components
 from quillon.session import checkpoint_dir
 
@@ -144,13 +144,20 @@ def verified(pairs: DataFrame, lines: DataFrame, shingle: int, threshold: int) -
 
 def line_classes(lines: DataFrame, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS,
                  threshold: int = THRESHOLD) -> DataFrame:
-    """(id, root) of the distinct lines that have a similar one."""
+    """(id, root) of the distinct lines that have a similar one.
+
+    Every step is written; the shuffle files of the steps before are let go."""
+    spark = lines.sparkSession
+    let_go(spark)
     shared = written(buckets(lines, shingle, rows, bands), "bands")
+    let_go(spark)
     known = written(sketches(lines, shared.select("line_key").distinct(), shingle), "sketches")
     tried = (led(shared, bands).join(known.toDF("a", "na", "oa"), "a").join(known.toDF("b", "nb", "ob"), "b")
              .filter(_possible(threshold)).select("a", "b"))
     tried = written(tried, "pairs")
+    let_go(spark)
     star = written(verified(tried, lines, shingle, threshold), "links")
+    let_go(spark)
     first = components(star)
     placed = shared.join(first.withColumnRenamed("id", "line_key"), "line_key", "left").select(
         "band", "line_key", F.coalesce("root", "line_key").alias("root"))
@@ -159,6 +166,7 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, rows: int = ROWS, ban
     # At most ``bands`` numbers a line.
     own = placed.groupBy("line_key").agg(F.sort_array(F.collect_set("band")).alias("own"))
     posts = written(placed.join(own, "line_key").join(known, "line_key").select("band", "line_key", "root", "own", "size", "odd"), "posts")
+    let_go(spark)
     x, y = posts.toDF("band", "a", "ra", "ba", "na", "oa"), posts.toDF("band", "b", "rb", "bb", "nb", "ob")
     # A pair is made once, in the first band that it shares.
     once = F.get(F.array_intersect("ba", "bb"), F.lit(0)) == x["band"]
