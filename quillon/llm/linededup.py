@@ -1,9 +1,9 @@
-"""Fuzzy line deduplication by MinHash, with DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
 Lines with a word are collapsed to distinct lines first.  A distinct line's
 signature has ``BANDS * ROWS`` minima over all its character shingles, those that
-verification compares: XOR with a constant permutes the 64-bit hashes, and a
-permutation's minimum and maximum give two signature values.  Lines that share a band are
+verification compares, hashed in blocks of lines: XOR with a constant permutes the
+64-bit hashes, and a permutation's minimum and maximum give two signature values.  Lines that share a band are
 candidates; full character-shingle sets decide exactly (Jaccard of at least
 ``threshold``).  Union-find over the verified pairs gives classes, and the
 first line of each class (by doc_id, then row identity, then position) stays.
@@ -32,15 +32,20 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import let_go, note, row_key, shuffle_partitions, written
+from quillon.llm.common import let_go, note, row_key, shuffle_partitions, slices, written
 from quillon.llm.components import components
+from quillon.llm.shingles import _powers, mix
 from quillon.session import checkpoint_dir
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 10, 3, 8, 80
 SKETCH = 1024
+# Lines whose shingles are hashed together.
+BLOCK_LINES = 500
 
 
 def _lines(column: str = "text"):
@@ -62,26 +67,69 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
                   F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos")).alias("first")))
     name = f"lines_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark)}/{name}"
-    lines.write.format("parquet").bucketBy(shuffle_partitions(spark), "line_key").option("path", path).saveAsTable(name)
+    # Text that is read by parts only: smaller files are worth the time.
+    lines.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_partitions(spark), "line_key").option("path", path).saveAsTable(name)
     note(path, name)
     return spark.table(name)
 
 
-def signatures(lines: DataFrame, shingle: int, values: int) -> DataFrame:
-    """(line_key, s0, s1, ...): ``values`` minima of each line with a shingle."""
-    mins = [f(F.col("h").bitwiseXOR(F.lit(hash_seed(i)))).alias(f"s{2 * i + k}")
-            for i in range(-(-values // 2)) for k, f in enumerate((F.min, F.max))]
-    return (lines.select("line_key", F.explode(_all_shingles(F.col("line"), shingle)).alias("shingle"))
-            .select("line_key", F.xxhash64("shingle").alias("h"))
-            .groupBy("line_key").agg(*mins))
+def _gram_block(lines: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all character shingles of all lines, one from each character
+    on, line after line, and how many each line has."""
+    texts = [(t or b"").decode("utf-8", "replace") for t in lines]
+    length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    n = np.maximum(length - shingle + 1, 0)
+    if not n.sum():
+        return np.empty(0, dtype=np.uint64), n
+    place = _powers(shingle)
+    grams = code[:len(code) - shingle + 1] * place[0]
+    for k in range(1, shingle):
+        grams += code[k:len(code) - shingle + 1 + k] * place[k]
+    # Those that begin in one line and end in the next are left out.
+    starts, before = np.cumsum(length) - length, np.cumsum(n) - n
+    return mix(grams[np.arange(n.sum()) + np.repeat(starts - before, n)]), n
+
+
+def _distinct_grams(lines: list[bytes | None], shingle: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
+    grams, n = _gram_block(lines, shingle)
+    return [np.unique(x) for x in np.split(grams, np.cumsum(n)[:-1])] if len(n) else []
+
+
+def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
+    """(line_key, bands): the hashes of each band of ``rows`` minima, for the
+    lines with a shingle."""
+    values = rows * bands
+    seeds = [np.uint64(hash_seed(i) + (1 << 63)) for i in range(-(-values // 2))]
+
+    def scan(batches):
+        for b in slices(batches, BLOCK_LINES):
+            grams, n = _gram_block(b.column(1).to_pylist(), shingle)
+            at = (np.cumsum(n) - n)[n > 0]
+            if not len(at):
+                continue
+            mins = []
+            for seed in seeds:
+                x = grams ^ seed
+                mins += [np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)]
+            keys = np.empty((len(at), bands), dtype=np.uint64)
+            for k in range(bands):
+                band = np.full(len(at), k + 1, dtype=np.uint64)
+                for r in range(rows):
+                    band = mix(band * _powers(2)[1] + mins[k * rows + r])
+                keys[:, k] = band
+            ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).filter(pa.array(n > 0)), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel()))], ["line_key", "bands"])
+
+    return lines.select("line_key", F.col("line").cast("binary").alias("line")).mapInArrow(scan, "line_key long, bands array<long>")
 
 
 def buckets(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
     """(b, band, line_key, n) of the lines that share a band with another, n
     being the lines of the band."""
-    signed = signatures(lines, shingle, rows * bands)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"s{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    return (signed.select("line_key", F.posexplode(keys).alias("b", "band"))
+    return (signatures(lines, shingle, rows, bands).select("line_key", F.posexplode("bands").alias("b", "band"))
             .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band")))
             .filter("n > 1"))
 
@@ -104,23 +152,19 @@ def hash_seed(i: int) -> int:
     return ((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63)
 
 
-def _all_shingles(line, shingle: int):
-    """The character shingles of a line, one from each character on."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{shingle}}}))."), F.lit(1))
-
-
-def _shingles(line, shingle: int):
-    """Distinct hashes of all character shingles of a line."""
-    return F.array_distinct(F.transform(_all_shingles(line, shingle), lambda s: F.xxhash64(s)))
-
-
 def sketches(lines: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
-    """(line_key, size, odd): shingle count and odd sketch of the asked lines."""
-    word = F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH // 64 - 1))
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    odd = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(SKETCH // 64)]
-    return (lines.join(keys, "line_key", "left_semi").select("line_key", F.explode(_shingles(F.col("line"), shingle)).alias("h"))
-            .groupBy("line_key").agg(F.count(F.lit(1)).cast("int").alias("size"), F.array(*odd).alias("odd")))
+    """(line_key, size, odd): shingle count and odd sketch of the asked lines
+    with a shingle."""
+    def scan(batches):
+        for b in slices(batches, BLOCK_LINES):
+            sets = _distinct_grams(b.column(1).to_pylist(), shingle)
+            odd = [np.packbits((np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) % 2).astype(np.uint8)).view(np.int64) for s in sets]
+            out = pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(odd, pa.list_(pa.int64()))], ["line_key", "size", "odd"])
+            yield out.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+
+    return (lines.join(keys, "line_key", "left_semi").select("line_key", F.col("line").cast("binary").alias("line"))
+            .mapInArrow(scan, "line_key long, size int, odd array<long>"))
 
 
 def _possible(threshold: int):
@@ -133,13 +177,19 @@ def _possible(threshold: int):
 
 def verified(pairs: DataFrame, lines: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    text = lines.select("line_key", "line")
+    def scan(batches):
+        for batch in slices(batches, BLOCK_LINES):
+            p, q = (_distinct_grams(batch.column(k).to_pylist(), shingle) for k in (2, 3))
+            keep = []
+            for x, y in zip(p, q):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= threshold * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    text = lines.select("line_key", F.col("line").cast("binary").alias("line"))
     x, y = text.toDF("a", "line_a"), text.toDF("b", "line_b")
-    both = (pairs.distinct().join(x, "a").join(y, "b")
-            .select("a", "b", _shingles(F.col("line_a"), shingle).alias("p"), _shingles(F.col("line_b"), shingle).alias("q")))
-    common = F.size(F.array_intersect("p", "q"))
-    return (both.withColumn("common", common)
-            .filter(100 * F.col("common") >= threshold * (F.size("p") + F.size("q") - F.col("common"))).select("a", "b"))
+    return (pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "line_a", "line_b")
+            .mapInArrow(scan, "a long, b long"))
 
 
 def line_classes(lines: DataFrame, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS,
